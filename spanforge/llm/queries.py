@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import quality_classifier, toxicity
+from .byte_bpe import encode_decode
 from .exact_dedup import mark_exact_duplicates
+from .mixing import mix_sources
 from .near_dedup import near_duplicates
 
 
@@ -12,6 +17,50 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def op1_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = encode_decode(docs, path, public_tokenizers.PATTERN, decoded_col="decoded")
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def _labelled(spark, sf_dir, label: str, rows: int) -> list:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    learn_from = lambda i: ~held_out(i)
+    return quality_classifier.fit_sample(documents(spark, sf_dir), labels, label, "doc_id", "text", rows, learn_from)
+
+
+def _scored(scores: DataFrame, threshold: float) -> DataFrame:
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
+def op5_quality_classifier(spark, sf_dir):
+    model = quality_classifier.fit(_labelled(spark, sf_dir, "quality", quality_classifier.FIT_ROWS))
+    return _scored(quality_classifier.score_quality(documents(spark, sf_dir), model), 0.3)
+
+
+def toxicity_model(spark, sf_dir) -> toxicity.FtrlModel:
+    return toxicity.fit(_labelled(spark, sf_dir, "toxic", toxicity.FIT_ROWS))
+
+
+def op6_toxicity(spark, sf_dir):
+    return _scored(toxicity.score_toxicity(documents(spark, sf_dir), toxicity_model(spark, sf_dir)), 0.5)
+
+
+def op9_mix_sources(spark, sf_dir):
+    return mix_sources(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return mark_exact_duplicates(documents(spark, sf_dir), keep="max")
 
@@ -29,9 +78,9 @@ FROM d JOIN g ON d.t = g.t
 
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
-s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
                                  WHEN len(w) = 1 THEN w ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
@@ -44,6 +93,10 @@ FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 """
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_toxicity": op6_toxicity,
+    "op9_mix_sources": op9_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
