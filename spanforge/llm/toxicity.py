@@ -70,10 +70,15 @@ class FtrlModel:
         return self.__dict__ | {"_dense": None}
 
 
-def fit(rows: list[tuple[str | None, int]], alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1, epochs: int = 5, bits: int = BITS) -> FtrlModel:
-    """FTRL-proximal over (text, label 0 or 1), in the given order, ``epochs`` times."""
+def fit(rows: list[tuple[str | None, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 2.0, l2: float = 0.02, epochs: int = 8, least: int = 3, bits: int = BITS) -> FtrlModel:
+    """FTRL-proximal over (text, label 0 or 1), in the given order, ``epochs`` times. Buckets of fewer than ``least``
+    texts are left out: one text's rare words would explain its label and starve the words that texts share."""
     hasher = Hasher(bits)
     data = [(np.unique(hasher(t or "")), float(y)) for t, y in rows]
+    seen = np.zeros(1 << bits, np.int32)
+    for x, _ in data:
+        seen[x] += 1
+    data = [(x[seen[x] >= least], y) for x, y in data]
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bz = bn = bias = 0.0
     for _ in range(epochs):
