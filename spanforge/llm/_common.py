@@ -18,7 +18,11 @@ def text_or_empty(col: Column) -> Column:
 
 
 def words_of(col: Column) -> Column:
-    """Words of a text in order (null: none). Project it to a column of its own before a lambda refers to it."""
+    """Words of a text in order (null: none).
+
+    Project it to a column of its own before a lambda refers to it, and put no filter and no plain ``explode`` (for which
+    Catalyst infers one) on what the lambda makes: pushed below the projection, the filter would hold the words'
+    expression inside the lambda and split the text again for each element. ``explode_outer`` infers no filter."""
     return F.array_remove(F.split(text_or_empty(col), WORD_GAP), "")
 
 

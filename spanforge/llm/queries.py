@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from . import quality_classifier, toxicity
 from .byte_bpe import encode_decode
 from .exact_dedup import mark_exact_duplicates
+from .licenses import scan_licenses
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .pii import replace_pii
+from .quality_rules import TARGET_ROWS, quality_rules
+from .token_counts import count_tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +61,25 @@ def op6_toxicity(spark, sf_dir):
     return _scored(toxicity.score_toxicity(documents(spark, sf_dir), toxicity_model(spark, sf_dir)), 0.5)
 
 
+def op2_pii_surrogates(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return replace_pii(docs, key="surrogates of the corpus").select("doc_id", "entities", "text")
+
+
+def op3_quality_rules(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").where(~held_out(F.col("doc_id")))
+    trusted = labels.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(TARGET_ROWS)
+    return quality_rules(documents(spark, sf_dir), trusted)
+
+
+def op4_license_scan(spark, sf_dir):
+    return scan_licenses(documents(spark, sf_dir))
+
+
+def op8_token_counts(spark, sf_dir):
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_mix_sources(spark, sf_dir):
     return mix_sources(documents(spark, sf_dir))
 
@@ -94,8 +117,12 @@ FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_toxicity": op6_toxicity,
+    "op8_token_counts": op8_token_counts,
     "op9_mix_sources": op9_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
