@@ -97,3 +97,13 @@ def test_near_nulls_repeats_empty(spark):
     assert near_duplicates(docs(spark, []), shingle=2).collect() == []
     left = drop_near_duplicates(docs(spark, rows), shingle=2)
     assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "7", "None"]
+
+
+def test_long_lists_go_block_by_block(spark, monkeypatch):
+    import spanforge.llm.near_dedup as N
+
+    monkeypatch.setattr(N, "SMALL", 3)
+    monkeypatch.setattr(N, "BLOCK", 7)
+    rows = made_up(9, 160)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), shingle=2, hot_share=0.05).collect()}
+    assert got == brute_components(rows, 2)
