@@ -20,6 +20,8 @@ from ._common import words_of, written
 
 #: Source counts live on the driver, one row for each source; shards are at most so many.
 MAX_SHARDS = 4096
+#: Sources whose table is broadcast; more are joined by a shuffle. Slots that one row makes, and about so many a task.
+BROADCAST_SOURCES, PIECE, TASK_SLOTS = 10_000, 1 << 16, 250_000
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], most: float) -> dict[str | None, float]:
@@ -121,14 +123,18 @@ def mix_sources(
     sources = spark.createDataFrame(table, "sx int, source_name string, source_size bigint, target double, blocks bigint")
     counts = shard_counts(slots, max(shard_slots, math.ceil(sum(slots) / MAX_SHARDS)), seed)
     shards = spark.createDataFrame([(*c, table[c[1]][4]) for c in counts], "shard int, sx int, n bigint, first bigint, blocks bigint")
+    pieces = shards.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(PIECE).cast("bigint"))))
+    slot = F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("at") + PIECE, F.col("n")) - 1)
     taken = (
-        shards.repartition(max(1, min(len(counts), 200)), "shard", "sx")
-        .select("sx", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+        pieces.repartition(min(20_000, 1 + sum(slots) // TASK_SLOTS), "shard", "sx", "at")
+        .select("sx", "blocks", F.explode(slot).alias("slot"))
         .select("sx", _block_of(seed)("sx", "slot", "blocks").alias("block"))
         .groupBy("sx", "block")
         .agg(F.count(F.lit(1)).alias("times"))
     )
 
+    if len(table) <= BROADCAST_SOURCES:
+        sources = F.broadcast(sources)
     known = sized.join(sources, sized.source.eqNullSafe(sources.source_name)).drop("source", "source_name")
     rows = sum(r.rows for r in totals)
     parts = 16 + rows // 20_000  # of each source's line, so that no window holds a large source's documents
@@ -162,8 +168,10 @@ def _taken(lines: DataFrame, taken: DataFrame, id_col: str, width: Column) -> Da
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **options) -> DataFrame:
     """``docs`` as the mix repeats them: a document whose words are taken x times on average is there floor(x) or
     ceil(x) times, by a keyed draw with that expectation, so some are gone and none is there more than ``max_repeats``
-    times. Documents without words have no share in the mix and pass once. Ids are expected to be unique."""
+    times. Documents without words have no share in the mix and pass once. Rows with one id are one document: what is
+    taken of them together decides how often each is there."""
     mix = mix_sources(docs, id_col, text_col, source_col, seed=seed, **options)
+    mix = mix.groupBy(id_col).agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     draw = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.col("taken") / F.col("size")
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(share) + (draw < share - F.floor(share)).cast("int")).cast("int")

@@ -81,18 +81,21 @@ def fit(rows: list[tuple[str | None, int]], dict_bytes: int = DICT_BYTES) -> Com
     return model
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int, learn_from=None) -> list:
-    """(text, label) of at most ``rows`` labelled rows, those with the least hash of their id, in that order."""
+def fit_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int, chars: int, learn_from=None
+) -> list:
+    """(text, label) of at most ``rows`` labelled documents, those with the least hash of their id, in that order; of
+    each text the first ``chars`` characters, so that what the driver holds has a bound. An id labelled more than once
+    has its highest label; labels other than 0 and 1 and null ids are left out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     if learn_from is not None:
         known = known.where(learn_from(F.col("id")))
-    known = known.dropDuplicates(["id"]).orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col).cast("string"), 1, chars).alias("t"))
     found = texts.join(F.broadcast(known), "id").select("id", "t", "y", F.xxhash64(F.lit(11), "id").alias("h")).collect()
     return [(r.t, r.y) for r in sorted(found, key=lambda r: (r.h, r.id, r.t or ""))]
 
 
-
 def score_quality(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score): how likely label 1 is for each whole text, 0 to 1. Null counts as empty; an empty text has a score
     like any other. Other columns are ignored. Compressors are made once in a worker."""

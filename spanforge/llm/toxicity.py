@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of what the fit reads: labelled rows, the least by a hash of the id; and the feature space.
-FIT_ROWS, BITS = 16_384, 20
+#: Bounds of what the fit reads: labelled rows (the least by a hash of the id) and characters of each of their texts;
+#: and the feature space.
+FIT_ROWS, FIT_CHARS, BITS = 16_384, 32_768, 20
 REMEMBERED = 300_000
 WORD = re.compile(r"\w+").findall
 

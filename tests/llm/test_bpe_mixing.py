@@ -73,5 +73,7 @@ def test_mix(spark):
     assert out.columns == make(rows).columns
     assert {x.doc_id for x in out.collect()} <= set(words)
     assert mix_sources(make([])).collect() == [] and apply_mix(make([])).collect() == []
+    same = apply_mix(make([(1, "a b c", "s"), (1, "a b c", "s"), (None, "q", None), (None, None, "s")]), block_words=1, weights=(1,)).collect()
+    assert sum(x.doc_id == 1 for x in same) == 2 and len(same) <= 8
     twice = [(1, "a b c", "s"), (1, "a b c", "s"), (2, None, "s"), (2, None, "s"), (None, "q", None)]
     assert len(mix_sources(make(twice)).collect()) == 5

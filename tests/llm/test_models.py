@@ -104,10 +104,11 @@ def test_scores_of_odd_inputs(spark, fit, score):
 def test_fit_sample_learns_from_allowed_rows_only(spark):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(50)] + [(7, 1, None), (None, 1, 1), (8, None, 1)], "doc_id bigint, quality int, toxic int")
     table = docs(spark, [(i, f"text {i}") for i in range(60)])
-    rows = quality_classifier.fit_sample(table, labels, "quality", "doc_id", "text", 1000, lambda i: ~queries.held_out(i))
+    rows = quality_classifier.fit_sample(table, labels, "quality", "doc_id", "text", 1000, 999, lambda i: ~queries.held_out(i))
     used = sorted(int(t.split()[1]) for t, _ in rows)
     assert used == [i for i in range(50) if zlib.crc32(str(i).encode()) % 5]
-    assert len(quality_classifier.fit_sample(table, labels, "quality", "doc_id", "text", 10, None)) == 10
+    few = quality_classifier.fit_sample(table, labels, "quality", "doc_id", "text", 10, 3, None)
+    assert len(few) == 10 and {t for t, _ in few} == {"tex"}
 
 
 def test_toxicity_weights_are_few():

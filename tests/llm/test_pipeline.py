@@ -15,7 +15,7 @@ from spanforge.llm.byte_bpe import load_ranks
 from spanforge.llm.mixing import source_targets
 from spanforge.llm.queries import QUERIES
 
-from .test_dedup import brute_components, lower
+from test_dedup import brute_components, lower
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
