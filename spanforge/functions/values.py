@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The words of a key's PEM header.
 PEM_WORDS = "BLOCK|DSA|EC|ECDSA|ED25519|ED448|ENCRYPTED|KEY|OPENSSH|PGP|PRIVATE|PUBLIC|RSA|SSH2|X25519|X448"
 PEM_HEADER = rf"^-----BEGIN (?:(?:{PEM_WORDS}) )*KEY(?: BLOCK)?-----$"
 
@@ -29,7 +30,7 @@ TOKEN = r"A-Za-z0-9+/_\-.~"
 
 def widen_left(before: Column) -> Column:
     """How many bytes before a span belong to its token."""
-    return F.length(F.regexp_extract(before, rf"[{TOKEN}]*$", 0))
+    return F.length(F.regexp_extract(F.reverse(before), rf"^[{TOKEN}]*", 0))
 
 
 def widen_right(after: Column) -> Column:
@@ -41,6 +42,7 @@ def cut(text: Column, limit: int = 160) -> Column:
     return F.when(F.char_length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("…"))).otherwise(text)
 
 
+# E.164 country codes of two digits.
 TWO_DIGIT_CODES = "^(2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 
 
@@ -86,6 +88,7 @@ def fold_name(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(low, MARKED, PLAIN), r"[\s ]+", " "))
 
 
+# Folders, extensions, names and prefixes that the profiles know.
 SEVERITY_PARTS = (
     "__mocks__ __tests__ androidtest cypress doc docs e2e example examples fixture fixtures jvmtest mock mocks "
     "sample samples spec specs test test-data testdata tests "
