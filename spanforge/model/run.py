@@ -171,7 +171,7 @@ def run_streams(chunks: DataFrame, model: bytes, key: str = "doc_id", options: O
 def spans(results: DataFrame, names: list[str], key: str = "doc_id") -> DataFrame:
     """(key, win, start, end, type, conf): the tag head's spans with the names of their types."""
     each = results.select(key, "win", F.explode("heads").alias("h")).select(key, "win", F.explode("h.spans").alias("x"))
-    name = F.get(F.array(*map(F.lit, names)), F.col("x.type"))
+    name = F.get(F.array(*map(F.lit, names)).cast("array<string>"), F.col("x.type"))
     return each.select(key, "win", F.col("x.start").alias("start"), F.col("x.end").alias("end"), name.alias("type"), F.col("x.confidence").alias("conf"))
 
 

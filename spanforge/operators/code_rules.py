@@ -6,6 +6,9 @@ positions: what stands before a range is matched from its reversed prefix, ancho
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,38 +107,59 @@ def _range(a: Column, z: Column) -> Column:
     return F.struct(a.cast("bigint").alias("start"), z.cast("bigint").alias("end"))
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` refers to it or the optimizer moves the whole."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def snap_to_literal(s: Column, a: Column, z: Column, margin: int = 90) -> Column:
     """The quoted literal around [a, z), if quotes on its lines are balanced before it and at most ``margin`` apart."""
-    before, after = before_on_line(s, a), after_on_line(s, z)
-    out = _range(a, z)
-    for q in ("`", "'", '"'):
-        opened, closed = _count(before, q), F.instr(after, F.lit(q))
-        left = a - F.length(F.substring_index(before, q, -1)) - 1
-        right = z + closed - 1
-        out = F.when((opened % 2 == 1) & (closed > 0) & (right - left <= margin), _range(left + 1, right)).otherwise(out)
-    return out
+
+    def chosen(v: Column) -> Column:
+        out = _range(a, z)
+        for q in ("`", "'", '"'):
+            opened, closed = _count(v["before"], q), F.instr(v["after"], F.lit(q))
+            left = a - F.length(F.substring_index(v["before"], q, -1)) - 1
+            right = z + closed - 1
+            out = F.when((opened % 2 == 1) & (closed > 0) & (right - left <= margin), _range(left + 1, right)).otherwise(out)
+        return out
+
+    return let(F.struct(before_on_line(s, a).alias("before"), after_on_line(s, z).alias("after")), chosen)
 
 
 def snap_to_value(s: Column, a: Column, z: Column, more: int = 40) -> Column:
     """The whole value of the assignment that the line of [a, z) is, if it is at most ``more`` bytes longer."""
-    before, inside = before_on_line(s, a), _cut(s, a, z)
-    line = F.concat(before, inside, after_on_line(s, z))
-    prefix = assignment_length(line)
-    value = F.rtrim(F.substr(line, prefix + 1), F.lit(" \t\r"))
-    quoted = (F.length(value) >= 2) & F.left(value, F.lit(1)).isin('"', "'", "`") & (F.left(value, F.lit(1)) == F.right(value, F.lit(1)))
-    v0 = a - F.length(before) + prefix + quoted.cast("int")
-    v1 = a - F.length(before) + prefix + F.length(value) - quoted.cast("int")
-    fits = ~F.contains(inside, F.lit("\n")) & prefix.isNotNull() & (v0 <= a) & (z <= v1) & (v1 - v0 <= z - a + more)
-    return F.when(F.coalesce(fits, F.lit(False)), _range(v0, v1)).otherwise(_range(a, z))
+
+    def chosen(v: Column) -> Column:
+        value = v["value"]
+        quoted = (F.length(value) >= 2) & F.left(value, F.lit(1)).isin('"', "'", "`") & (F.left(value, F.lit(1)) == F.right(value, F.lit(1)))
+        v0 = v["first"] + v["prefix"] + quoted.cast("int")
+        v1 = v["first"] + v["prefix"] + F.length(value) - quoted.cast("int")
+        fits = v["prefix"].isNotNull() & (v0 <= a) & (z <= v1) & (v1 - v0 <= z - a + more)
+        return F.when(F.coalesce(fits, F.lit(False)), _range(v0, v1)).otherwise(_range(a, z))
+
+    def of_line(v: Column) -> Column:
+        value = F.rtrim(F.substr(v["line"], v["prefix"] + 1), F.lit(" \t\r"))
+        return let(F.struct(v["first"].alias("first"), v["prefix"].alias("prefix"), value.alias("value")), chosen)
+
+    def of_parts(v: Column) -> Column:
+        line = F.concat(v["before"], v["inside"], v["after"])
+        prefix = F.when(~F.contains(v["inside"], F.lit("\n")), assignment_length(line))
+        return let(F.struct((a - F.length(v["before"])).alias("first"), line.alias("line"), prefix.alias("prefix")), of_line)
+
+    parts = F.struct(before_on_line(s, a).alias("before"), _cut(s, a, z).alias("inside"), after_on_line(s, z).alias("after"))
+    return let(parts, of_parts)
 
 
 def line_around(s: Column, a: Column, z: Column, most: int = 120) -> Column:
     """The line of [a, z) without blanks at its end, if it has at most ``most`` bytes."""
-    before, after = before_on_line(s, a), after_on_line(s, z)
-    first, last = a - F.length(before), z + F.length(after)
-    line = _cut(s, first, last)
-    end = first + F.length(F.rtrim(line, F.lit(" \t\r")))
-    return F.when((last - first <= most) & (z <= end), _range(first, end)).otherwise(_range(a, z))
+
+    def chosen(v: Column) -> Column:
+        end = v["first"] + F.length(F.rtrim(_cut(s, v["first"], v["last"]), F.lit(" \t\r")))
+        return F.when((v["last"] - v["first"] <= most) & (z <= end), _range(v["first"], end)).otherwise(_range(a, z))
+
+    first, last = a - F.length(before_on_line(s, a)), z + F.length(after_on_line(s, z))
+    return let(F.struct(first.alias("first"), last.alias("last")), chosen)
 
 
 def extend_to_block(spans: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -149,10 +173,7 @@ def extend_to_block(spans: DataFrame, blocks: DataFrame, key: str = "doc_id") ->
 
 def is_documentation_example(s: Column, a: Column, z: Column) -> Column:
     near = _cut(s, F.greatest(a - 4, F.lit(0)), z + 4)
-    out = F.lit(False)
-    for example in EXAMPLES:
-        out = out | F.contains(near, F.lit(example))
-    return out
+    return let(near, lambda v: reduce(or_, [F.contains(v, F.lit(example)) for example in EXAMPLES]))
 
 
 def is_allowed(s: Column, a: Column, marker: str = "spanforge:allow") -> Column:
