@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 #: Bounds of what the fit reads: labelled rows (the least by a hash of the id) and bytes of each of their texts.
 FIT_ROWS, FIT_BYTES = 12_000, 16_384
 DICT_BYTES = 65_536
+#: Parts in which a sample comes to the driver.
+PARTS = 16
 
 
 @dataclass
@@ -60,10 +62,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 80
     return w
 
 
-def fit(rows: list[tuple[str | None, int]], dict_bytes: int = DICT_BYTES) -> CompressionClassifier:
-    """``rows``: (text, label 0 or 1). Even rows train the dictionaries, odd rows the calibration. Without enough texts
+def fit_bytes(text: str | None) -> bytes:
+    return (text or "").encode()[:FIT_BYTES]
+
+
+def fit(rows: list[tuple[str | bytes | None, int]], dict_bytes: int = DICT_BYTES) -> CompressionClassifier:
+    """``rows``: (text or its ``fit_bytes``, label 0 or 1). Even rows train the dictionaries, odd rows the calibration. Without enough texts
     of a label, that dictionary is made of whatever there is; without both labels, the score is the label's share."""
-    data = [((t or "").encode()[:FIT_BYTES], int(y)) for t, y in rows]
+    data = [(t if isinstance(t, bytes) else fit_bytes(t), int(y)) for t, y in rows]
     share = (sum(y for _, y in data) + 1) / (len(data) + 2)
     constant = [float(np.log(share / (1 - share))), 0.0, 0.0, 0.0, 0.0]
 
@@ -82,18 +88,20 @@ def fit(rows: list[tuple[str | None, int]], dict_bytes: int = DICT_BYTES) -> Com
 
 
 def fit_sample(
-    docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int, chars: int, learn_from=None
+    docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, rows: int, chars: int, learn_from=None, convert=lambda t: t
 ) -> list:
-    """(text, label) of at most ``rows`` labelled documents, those with the least hash of their id, in that order; of
-    each text the first ``chars`` characters, so that what the driver holds has a bound. An id labelled more than once
-    has its highest label; labels other than 0 and 1 and null ids are left out."""
+    """(``convert(text)``, label) of at most ``rows`` labelled documents, those with the least hash of their id, in that
+    order; of each text the first ``chars`` characters, so that what the driver holds has a bound. The sample comes in
+    parts and is converted as it comes: the driver never holds its texts at once. An id labelled more than once has its
+    highest label; labels other than 0 and 1 and null ids are left out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     if learn_from is not None:
         known = known.where(learn_from(F.col("id")))
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col).cast("string"), 1, chars).alias("t"))
-    found = texts.join(F.broadcast(known), "id").select("id", "t", "y", F.xxhash64(F.lit(11), "id").alias("h")).collect()
-    return [(r.t, r.y) for r in sorted(found, key=lambda r: (r.h, r.id, r.t or ""))]
+    found = texts.join(F.broadcast(known), "id").select("id", "t", "y", F.xxhash64(F.lit(11), "id").alias("h"), F.crc32(F.col("t").cast("binary")).alias("c"))
+    got = [(r.h, r.id, r.c or 0, convert(r.t), r.y) for r in found.repartition(PARTS).toLocalIterator()]
+    return [(x, y) for *_, x, y in sorted(got, key=lambda r: r[:3])]
 
 
 def score_quality(docs: DataFrame, model: CompressionClassifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

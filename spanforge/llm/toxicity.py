@@ -46,6 +46,9 @@ class Hasher:
         mixed = np.concatenate([h, pair, skip]) * np.uint64(0xD6E8FEB86659FD93)
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int32)
 
+    def features(self, text: str | None) -> np.ndarray:
+        return np.unique(self(text or ""))
+
 
 @dataclass
 class FtrlModel:
@@ -71,11 +74,11 @@ class FtrlModel:
         return self.__dict__ | {"_dense": None}
 
 
-def fit(rows: list[tuple[str | None, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 2.0, l2: float = 0.02, epochs: int = 8, least: int = 3, bits: int = BITS) -> FtrlModel:
-    """FTRL-proximal over (text, label 0 or 1), in the given order, ``epochs`` times. Buckets of fewer than ``least``
+def fit(rows: list[tuple[str | np.ndarray | None, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 2.0, l2: float = 0.02, epochs: int = 8, least: int = 3, bits: int = BITS) -> FtrlModel:
+    """FTRL-proximal over (text or its features, label 0 or 1), in the given order, ``epochs`` times. Buckets of fewer than ``least``
     texts are left out: one text's rare words would explain its label and starve the words that texts share."""
     hasher = Hasher(bits)
-    data = [(np.unique(hasher(t or "")), float(y)) for t, y in rows]
+    data = [(t if isinstance(t, np.ndarray) else hasher.features(t), float(y)) for t, y in rows]
     seen = np.zeros(1 << bits, np.int32)
     for x, _ in data:
         seen[x] += 1
