@@ -16,9 +16,8 @@ values is cut into at most f*n + 1 runs. Over whole sets (k >= n) that gives, an
 
 So all documents list their runs of three; those under the first bound their runs of two, those under the second their
 single ordinary values, those under the third their hot runs of two. The document with the wider rule always has the
-keys that the other's rule promises, so whatever is similar shares a list, and no list is capped. A truncated sketch
-shares about half of all its runs with a similar one (48 of 94 at t = 0.8, k = 96); one that shares fewer than
-``LEAST_SHARED`` runs with all others together has no partner and leaves the lists.
+keys that the other's rule promises, so whatever is similar shares a list, and no list is capped. One shared key is
+enough: no document leaves the lists for sharing few.
 
 Within a list, members are first verified against the list's most central member, which links a group of copies in a
 number of comparisons linear in its size. Pairs of a list that are still in different components are then verified:
@@ -33,7 +32,6 @@ from pyspark.sql import functions as F
 from ._common import ascii_lower, constant_array, forget, words_of, written
 
 BUCKETS = 1 << 16
-LEAST_SHARED = 4
 #: Members of a list whose pairs are made one by one, and of a block that is compared as a whole.
 SMALL, BLOCK = 32, 64
 
@@ -213,12 +211,8 @@ def near_duplicates(
     )
     slack = (100 - percent) / percent
     postings = _postings(reps, hot_share, slack)
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     lists = written(postings.join(shared, "key"), "lists")
-    lone = lists.groupBy("id", "n").agg(F.count(F.lit(1)).alias("runs")).where((F.col("n") > k) & (F.col("runs") < LEAST_SHARED))
-    lists = lists.join(lone.select("id"), "id", "left_anti")
-    shared = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    lists = written(lists.join(shared.where("members > 1"), "key"), "lists")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     wanted = lists.select("id").distinct()
     sets = written(_sets(texts.join(wanted, "id", "left_semi"), "id", "text", shingle).dropDuplicates(["id"]), "sets")

@@ -107,3 +107,26 @@ def test_long_lists_go_block_by_block(spark, monkeypatch):
     rows = made_up(9, 160)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), shingle=2, hot_share=0.05).collect()}
     assert got == brute_components(rows, 2)
+
+
+def mostly_shared(seed, pairs, n, ordinary):
+    """Pairs at similarity 0.8: a text of words that many documents share but for ``ordinary``, and it with a fifth of its own."""
+    r = random.Random(seed)
+    pool = [f"h{i}" for i in range(2 * n)]
+    rows = []
+    for p in range(pairs):
+        base = r.sample(pool, n * 4 // 5 - ordinary) + [f"o{p}x{i}" for i in range(ordinary)]
+        rows += [(2 * p, " ".join(base)), (2 * p + 1, " ".join(base + [f"a{p}x{i}" for i in range(n // 5)]))]
+    return rows
+
+
+def missed(spark, rows, size=1):
+    want = brute_components(rows, size)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), shingle=size, hot_share=0.1).collect()}
+    assert set(got) == set(want)
+    return sorted(i for i in want if got[i] != want[i])
+
+
+def test_few_shared_runs_are_candidates(spark):
+    """Documents that share one to three keys with all others together are compared like all others."""
+    assert missed(spark, mostly_shared(1, 40, 300, 9)) == []
