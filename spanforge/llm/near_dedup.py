@@ -7,7 +7,7 @@ A list of one retained value would hold every document with a common phrase, so
 dropping anything. All documents order their retained values alike: first those of ordinary hash buckets, then those
 of hot buckets (a bucket whose count exceeds a share of all documents; the counts cover all documents), by hash in each.
 With similarity >= t, two sets differ by at most f*n elements, f = (1-t)/t, so what they share of a document's a ordinary
-values is cut into at most f*n + 1 runs. Over whole sets (k >= n) that gives, and over sketches with a small error:
+values is cut into at most f*n + 1 runs. Over whole sets (k > n) that gives:
 
 * a >= 3*f*n + 2: three neighbouring ordinary values are neighbours in the other document too;
 * a >= 2*f*n + 2: two neighbouring ones are;
@@ -19,6 +19,11 @@ single ordinary values, those under the third their hot runs of two. The documen
 keys that the other's rule promises, so whatever is similar shares a list, and no list is capped. One shared key is
 enough: no document leaves the lists for sharing few.
 
+A full sketch (k values) is a sample, in which the values that differ may be more than their share, and all of them
+ordinary. Its bounds are raised by ``MARGINS`` standard deviations of the count of differing values, sqrt(k*t*(1-t)). For
+k = 96 and t = 0.8, a set inside another, all that differs ordinary and in random order, the chance of no shared key of
+the promised kind is then below 3e-10 at each bound (without: 6e-9, 1e-6 and 9e-2), computed over the binomial counts.
+
 Within a list, members are first verified against the list's most central member, which links a group of copies in a
 number of comparisons linear in its size. Pairs of a list that are still in different components are then verified:
 one by one in short lists, and in long ones block against block, so that rows stay few.
@@ -32,6 +37,9 @@ from pyspark.sql import functions as F
 from ._common import ascii_lower, constant_array, forget, words_of, written
 
 BUCKETS = 1 << 16
+#: Standard deviations added to the bounds of runs of three, runs of two and single values. Runs need less: that
+#: differing values part all of them is unlikely by itself.
+MARGINS = (2, 3, 6)
 #: Members of a list whose pairs are made one by one, and of a block that is compared as a whole.
 SMALL, BLOCK = 32, 64
 
@@ -72,7 +80,8 @@ def _hot_words(sketches: DataFrame, share: float) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in bits]
 
 
-def _postings(reps: DataFrame, hot_share: float, slack: float) -> DataFrame:
+def _postings(reps: DataFrame, hot_share: float, percent: int, k: int) -> DataFrame:
+    t = percent / 100
     hot = constant_array(_hot_words(reps, hot_share), "bigint")
 
     def is_hot(v: Column) -> Column:
@@ -85,15 +94,17 @@ def _postings(reps: DataFrame, hot_share: float, slack: float) -> DataFrame:
         F.filter("sketch", lambda v: ~is_hot(v)).alias("o"),
         F.filter("sketch", is_hot).alias("h"),
     )
-    o, fn = F.col("o"), slack * (F.size("o") + F.size("h"))
+    o, size = F.col("o"), F.size("o") + F.size("h")
+    fn = (100 - percent) / percent * size
+    m3, m2, m1 = (F.when(size >= k, x * (k * t * (1 - t)) ** 0.5).otherwise(0.0) for x in MARGINS)
     none = F.array().cast("array<bigint>")
     split = split.select(
         "id",
         "n",
         "o",
         F.concat(F.slice(o, F.greatest(F.size(o), F.lit(1)), F.lit(1)), F.col("h")).alias("h"),
-        *[(F.size(o) < x).alias(c) for c, x in (("below3", 3 * fn + 2), ("below2", 2 * fn + 2))],
-        (F.size(o) <= fn).alias("below1"),
+        *[(F.size(o) < x).alias(c) for c, x in (("below3", 3 * fn + 2 + m3), ("below2", 2 * fn + 2 + m2))],
+        (F.size(o) <= fn + m1).alias("below1"),
     )
     keys = F.concat(
         _runs(o, 3),
@@ -209,8 +220,7 @@ def near_duplicates(
         .dropDuplicates(["id", "n"]),
         "reps",
     )
-    slack = (100 - percent) / percent
-    postings = _postings(reps, hot_share, slack)
+    postings = _postings(reps, hot_share, percent, k)
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     lists = written(postings.join(shared, "key"), "lists")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
