@@ -69,6 +69,17 @@ def query_template_prefix(spark, sf_dir):
     return ascii_docs.select("doc_id", F.concat(F.lit(W.query_prefix(["name", "value"], 24)), F.left("s", F.lit(40))).alias("payload"))
 
 
+@query(
+    f"""WITH {_windows_sql(488, 384, 24)}
+SELECT doc_id, win, sha256(unhex(hex(encode(rpad('?name' || chr(10) || '?value' || chr(10), 24, chr(10)))) || substr(hex(encode(text)), (2 * start + 1)::BIGINT, (2 * length)::BIGINT))) AS sha256 FROM wins"""
+)
+def query_template_windows(spark, sf_dir):
+    """What a query model of 512 bytes reads: its region of 24 bytes, then each window of all documents."""
+    cut = W.slice_of(F.col("s"), F.col("start"), F.col("length"))
+    payload = F.concat(F.lit(W.query_prefix(["name", "value"], 24)), cut)
+    return _wins(spark, sf_dir, 512 - 24).select("doc_id", "win", F.sha2(B.to_bytes(payload), 256).alias("sha256"))
+
+
 @query(
     f"""WITH {_windows_sql(512, 384, 24)}, {matches_sql("r", r"[\x20-\x7e\t]{64,}")}
 SELECT doc_id, win, NOT EXISTS (SELECT 1 FROM r WHERE r.value IS NOT NULL AND r.doc_id = w.doc_id AND r.start < w.start + w.length AND w.start < r."end") AS skipped FROM wins w"""

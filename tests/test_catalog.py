@@ -1,5 +1,6 @@
 """Every catalogue query against the same query in DuckDB on the smallest tables."""
 
+import hashlib
 import os
 
 import duckdb
@@ -38,3 +39,19 @@ def test_matches_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_query_template_covers_all_bytes(spark):
+    """Every window of every document, non-ASCII ones too, is read whole after the prefix."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = set()
+    for d in docs:
+        s = d.text.encode()
+        if len(s) >= 24:
+            count = 1 if len(s) <= 488 else -(-(len(s) - 488) // 384) + 1
+            for w in range(count):
+                start = len(s) - 488 if w and len(s) - w * 384 < 24 else w * 384
+                want.add((d.doc_id, w, hashlib.sha256(b"?name\n?value\n".ljust(24, b"\n") + s[start : start + 488]).hexdigest()))
+    assert any(not d.text.isascii() for d in docs)
+    assert {(r.doc_id, r.win, r.sha256) for r in catalog.QUERIES["query_template_windows"](spark, SF).collect()} == want
