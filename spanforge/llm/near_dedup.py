@@ -1,32 +1,20 @@
 """Near-duplicate components from bottom-k sketches of one hash function.
 
 A document's set is its distinct word shingles, hashed to 64 bits; its sketch is the k smallest hashes. Inverted lists
-of retained values give candidates, the sketch of the union estimates their similarity, and the full sets verify it.
-
-A list of one retained value would hold every document with a common phrase, so lists are keyed to stay short without
-dropping anything. All documents order their retained values alike: first those of ordinary hash buckets, then those
-of hot buckets (a bucket whose count exceeds a share of all documents; the counts cover all documents), by hash in each.
-With similarity >= t, two sets differ by at most f*n elements, f = (1-t)/t, so what they share of a document's a ordinary
-values is cut into at most f*n + 1 runs. Over whole sets (k > n) that gives:
-
-* a >= 3*f*n + 2: three neighbouring ordinary values are neighbours in the other document too;
-* a >= 2*f*n + 2: two neighbouring ones are;
-* a > f*n: at least one ordinary value is in the other;
-* else: two neighbours in the joint order are, as soon as the sets differ at all.
-
-So all documents list their runs of three; those under the first bound their runs of two, those under the second their
-single ordinary values, those under the third their hot runs of two. The document with the wider rule always has the
-keys that the other's rule promises, so whatever is similar shares a list, and no list is capped. One shared key is
-enough: no document leaves the lists for sharing few.
-
-A full sketch (k values) is a sample, in which the values that differ may be more than their share, and all of them
-ordinary. Its bounds are raised by ``MARGINS`` standard deviations of the count of differing values, sqrt(k*t*(1-t)). For
-k = 96 and t = 0.8, a set inside another, all that differs ordinary and in random order, the chance of no shared key of
-the promised kind is then below 3e-10 at each bound (without: 6e-9, 1e-6 and 9e-2), computed over the binomial counts.
-
-Within a list, members are first verified against the list's most central member, which links a group of copies in a
-number of comparisons linear in its size. Pairs of a list that are still in different components are then verified:
-one by one in short lists, and in long ones block against block, so that rows stay few.
+of retained values generate overlaps, the sketch of the union estimates their similarity, and the full sets verify it.
+
+Sets with similarity t or more have ``least_shared`` retained values in common or more: t of a whole set, and t*k less
+``MARGIN`` standard deviations of a sample's count where a sketch is full (at k = 96 and t = 0.8: 54 to 72 of 96, by the
+set's size; to share fewer has a chance below 1e-7). So a document whose sketch has fewer values that any other sketch has is not similar to
+anything, and all others need to be listed under their rarest shared values only: if each leaves out ``least_shared`` - 1
+of them, the most frequent by one order of all values, similar documents still meet in a list. That keeps common phrases
+out of the lists without a cap: a value that a third of the corpus has is a list of only those documents that have
+little else, and these are mostly alike.
+
+Within a list, members are first compared with the list's most central member, which links a group of copies in a
+number of comparisons linear in its size. Members of a list that are still in different components are then compared
+with each other: as pairs in short lists, and in long ones as pairs of blocks, so that rows stay few and each pair of
+blocks is a row by itself. Either way overlaps and estimates from the sketches select and the full sets decide.
 """
 
 from __future__ import annotations
@@ -34,14 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, constant_array, forget, words_of, written
+from ._common import ascii_lower, forget, text_or_empty, words_of, written
 
-BUCKETS = 1 << 16
-#: Standard deviations added to the bounds of runs of three, runs of two and single values. Runs need less: that
-#: differing values part all of them is unlikely by itself.
-MARGINS = (2, 3, 6)
-#: Members of a list whose pairs are made one by one, and of a block that is compared as a whole.
+#: Standard deviations by which a sample's count may fall short of its expectation.
+MARGIN = 6
+#: Members of a list whose pairs are rows of their own, and of a block whose pairs are compared inside a row.
 SMALL, BLOCK = 32, 64
+#: Ids that are broadcast to pick texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_set(words: Column, size: int) -> Column:
@@ -54,114 +42,146 @@ def shingle_set(words: Column, size: int) -> Column:
     return F.when(n >= size, F.array_distinct(shingles)).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    words = docs.select(F.col(id_col).alias("id"), words_of(ascii_lower(F.col(text_col))).alias("words"))
-    return words.select("id", shingle_set(F.col("words"), size).alias("set"))
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """(id, text digest, set) of (id, text)."""
+    digest = F.unhex(F.md5(text_or_empty(F.col("text"))))
+    words = docs.select("id", digest.alias("digest"), words_of(ascii_lower(F.col("text"))).alias("words"))
+    return words.select("id", "digest", shingle_set(F.col("words"), size).alias("set"))
 
 
-def _runs(values: Column, length: int) -> Column:
-    """Hashes of ``length`` neighbouring values."""
-    return F.when(
-        F.size(values) >= length,
-        F.transform(
-            F.sequence(F.lit(0), F.size(values) - length), lambda i: F.xxhash64(*[F.get(values, i + j) for j in range(length)])
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
-def _hot_words(sketches: DataFrame, share: float) -> list[int]:
-    """A bitmap of hot buckets as 64-bit words: 1024 numbers, whatever the corpus."""
-    n = sketches.count()
-    values = sketches.select(F.explode("sketch").alias("v"))
-    hot = values.groupBy(F.pmod("v", F.lit(BUCKETS)).cast("int").alias("b")).count().where(F.col("count") > max(8.0, share * n))
-    bits = [0] * (BUCKETS // 64)
-    for (b,) in hot.select("b").collect():  # at most min(65 536, k / share) rows
-        bits[b >> 6] |= 1 << (b & 63)
-    return [x - (1 << 64) if x >> 63 else x for x in bits]
+def least_shared(n: Column, k: int, percent: int) -> Column:
+    """How many retained values a set of ``n`` shares with any set that is similar to it, at least. Of the larger of
+    two similar sets the other has t or more, so of its k least values t*k, less the margin of k draws without
+    replacement out of n/t at most. A set of fewer than t*k is like whole sketches only: t*n values."""
+    t = percent / 100
+    sampled = t * k - MARGIN * F.sqrt(k * t * (1 - t) * F.greatest(F.lit(0.0), 1 - k * t / n))
+    whole = F.ceil(n * percent / 100)
+    return F.greatest(F.lit(1), F.when(n < t * k, whole).otherwise(F.least(whole, F.ceil(sampled)))).cast("int")
 
 
-def _postings(reps: DataFrame, hot_share: float, percent: int, k: int) -> DataFrame:
-    t = percent / 100
-    hot = constant_array(_hot_words(reps, hot_share), "bigint")
+def least_overlap(na: Column, nb: Column, k: int, percent: int) -> Column:
+    """The same for two sets of known sizes, where the larger one is sampled: they share t/(1+t) of both sizes or more."""
+    t, most = percent / 100, F.greatest(na, nb)
+    q = t / (1 + t) * (1 + F.least(na, nb) / most)
+    return (F.floor(q * k - MARGIN * F.sqrt(k * q * (1 - q) * F.greatest(F.lit(0.0), 1 - k / most))) - 1).cast("int")
 
-    def is_hot(v: Column) -> Column:
-        b = F.pmod(v, F.lit(BUCKETS)).cast("int")
-        return F.getbit(F.get(hot, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
 
-    split = reps.select(
-        "id",
-        "n",
-        F.filter("sketch", lambda v: ~is_hot(v)).alias("o"),
-        F.filter("sketch", is_hot).alias("h"),
-    )
-    o, size = F.col("o"), F.size("o") + F.size("h")
-    fn = (100 - percent) / percent * size
-    m3, m2, m1 = (F.when(size >= k, x * (k * t * (1 - t)) ** 0.5).otherwise(0.0) for x in MARGINS)
-    none = F.array().cast("array<bigint>")
-    split = split.select(
-        "id",
-        "n",
-        "o",
-        F.concat(F.slice(o, F.greatest(F.size(o), F.lit(1)), F.lit(1)), F.col("h")).alias("h"),
-        *[(F.size(o) < x).alias(c) for c, x in (("below3", 3 * fn + 2 + m3), ("below2", 2 * fn + 2 + m2))],
-        (F.size(o) <= fn + m1).alias("below1"),
-    )
-    keys = F.concat(
-        _runs(o, 3),
-        F.when(F.col("below3"), _runs(o, 2)).otherwise(none),
-        F.when(F.col("below2"), F.transform(o, lambda v: F.xxhash64(F.lit("one"), v))).otherwise(none),
-        F.when(F.col("below1"), _runs(F.col("h"), 2)).otherwise(none),
-    )
-    return split.select("id", "n", F.explode_outer(keys).alias("key")).where("key IS NOT NULL")  # see words_of
+def _lists(reps: DataFrame, percent: int, k: int) -> DataFrame:
+    """(key, id, n, members): documents under their rarest shared values, all that may be similar to others."""
+    values = reps.select("id", "n", F.explode("sketch").alias("key"))
+    many = values.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = values.join(many, "key").groupBy("id").agg(F.min("n").alias("n"), F.collect_list(F.struct("many", "key")).alias("shared"))
+    rare = F.size("shared") - least_shared(F.col("n"), k, percent) + 1  # of at most k values
+    kept = shared.select("id", "n", F.slice(F.array_sort("shared"), 1, F.greatest(rare, F.lit(0))).alias("rare"))
+    listed = written(kept.select("id", "n", F.explode("rare.key").alias("key")), "listed")
+    members = listed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    out = written(listed.join(members, "key"), "lists")
+    forget(listed)
+    return out
 
 
 def _alike_sizes(a, b, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _side(what: DataFrame, col: str, x: str) -> DataFrame:
-    return what.select(F.col("id").alias(x), F.col(col).alias(f"{col}_{x}"))
-
+def _side(what: DataFrame, x: str, *columns: str) -> DataFrame:
+    return what.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
 
-def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that the union's sketch does not rule out and the full sets confirm."""
-    t = percent / 100
-    near = pairs.join(_side(reps, "sketch", "a"), "a").join(_side(reps, "sketch", "b"), "b")
-    union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, k)
-    near = near.select("a", "b", union.alias("u"), F.array_intersect("sketch_a", "sketch_b").alias("i"))
-    both = F.size(F.array_intersect("u", "i")) / F.size("u")
-    near = near.where(both >= t - 6 * F.sqrt(F.lit(t * (1 - t)) / F.size("u"))).select("a", "b")
-    full = near.join(_side(sets, "set", "a"), "a").join(_side(sets, "set", "b"), "b")
-    same = full.select(
-        "a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"), (F.size("set_a") + F.size("set_b")).alias("s")
-    )
-    return written(same.where(F.col("i") * 100 >= (F.col("s") - F.col("i")) * percent).select("a", "b"), "links")
 
+def _enough(shared: Column, na: Column, nb: Column, percent: int) -> Column:
+    return shared * 100 >= (na + nb - shared) * percent
 
-def _in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members (family, id, c, n) of a family that are in different components, from full sets.
 
-    The family is the component that prevails in a long list; those outside it are compared with all its members, block
-    by block. A row holds two blocks, and only what is similar leaves it: neither pairs nor a whole family are ever rows
-    of one task."""
-    size = members.groupBy("family", (F.col("c") != F.col("family")).alias("outside")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
-    d = members.withColumn("outside", F.col("c") != F.col("family")).join(size, ["family", "outside"])
+def _likely(a: Column, b: Column, k: int, percent: int) -> Column:
+    """Whether the sketch of the union, made of two sketches, allows the similarity. ``a`` and ``b``: columns or the
+    variables of a lambda, not expressions."""
+    t = percent / 100
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
+    both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
+    size = F.least(F.lit(k), F.size(F.array_union(a, b)))
+    return both / size >= t - MARGIN * F.sqrt(F.lit(t * (1 - t)) / size)
+
+
+def _full_sets(ids: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, set) of the documents in question: a set is made again from its text rather than kept for all. An id on
+    several texts has several."""
+    few = ids.count() <= BROADCAST_IDS
+    sets = _sets(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi"), shingle)
+    return written(sets.dropDuplicates(["id", "digest"]).select("id", "set"), "sets")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that the union's sketch does not rule out and the full sets confirm. A sketch that is
+    not full is the full set."""
+    near = pairs.join(_side(reps, "a", "n", "sketch"), "a").join(_side(reps, "b", "n", "sketch"), "b")
+    whole, shared = F.greatest("n_a", "n_b") <= k, F.size(F.array_intersect("sketch_a", "sketch_b"))
+    decided = F.when(whole, _enough(shared, F.col("n_a"), F.col("n_b"), percent)).otherwise(_likely(F.col("sketch_a"), F.col("sketch_b"), k, percent))
+    near = written(near.where(decided).select("a", "b", whole.alias("whole")), "near")
+    open_ = near.where("NOT whole")
+    wanted = written(open_.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    sets = _full_sets(wanted, texts, shingle)
+    full = open_.select("a", "b").join(_side(sets, "a", "set"), "a").join(_side(sets, "b", "set"), "b")
+    i = F.size(F.array_intersect("set_a", "set_b"))
+    same = full.select("a", "b", i.alias("i"), F.size("set_a").alias("x"), F.size("set_b").alias("y"))
+    same = same.where(_enough(F.col("i"), F.col("x"), F.col("y"), percent)).select("a", "b")
+    links = written(near.where("whole").select("a", "b").union(same).distinct(), "links")
+    for d in (near, wanted, sets):
+        forget(d)
+    return links
+
+
+def _in_blocks(members: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members (family, id, c, n) of a family that are in different components.
+
+    The family is the component that prevails in a long list; those outside it are compared with all its members. Members
+    are dealt to cells by size class, of which only neighbours can hold similar sets, and cells to blocks. A row of the
+    join is one pair of blocks, found by all its coordinates, so a family of any size is spread over all tasks. The
+    sketches' overlap, as an estimate of the similarity of sets of these sizes, and then the full sets decide inside the
+    row; of a document's links with the block's documents one a component leaves it, which joins the same components as
+    all of them."""
+    step = -F.log(F.lit(percent / 100))
+    d = members.select("family", "id", "c", "n", (F.col("c") != F.col("family")).alias("out"), F.floor(F.log("n") / step).cast("int").alias("size"))
+    cells = written(d.groupBy("family", "out", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks")), "cells")
+    wanted = written(members.where(F.col("n") > k).select("id").distinct(), "wanted")
+    sets = _full_sets(wanted, texts, shingle)
+    d = d.join(cells, ["family", "out", "size"]).join(reps.select("id", "n", "sketch"), ["id", "n"]).join(sets, "id", "left")
     d = d.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    d = d.join(sets, "id").groupBy("family", "outside", "block").agg(F.collect_list(F.struct("id", "c", "n", "set")).alias("rows"))
-    d = written(d, "blocks")
-    x = d.where("outside").select("family", F.col("block").alias("bx"), F.col("rows").alias("x"))
-    y = d.select(F.col("family").alias("fy"), "outside", F.col("block").alias("by"), F.col("rows").alias("y"))
-    both = x.join(y, (F.col("family") == F.col("fy")) & (~F.col("outside") | (F.col("bx") <= F.col("by"))))
+    row = F.struct("id", "c", "n", "sketch", F.coalesce("set", "sketch").alias("set"))
+    d = written(d.groupBy("family", "out", "size", "block").agg(F.collect_list(row).alias("rows")), "blocks")
+    cx, cy = (cells.select("family", *[F.col(c).alias(c + e) for c in ("out", "size", "blocks")]) for e in "xy")
+    near = F.abs(F.col("sizex") - F.col("sizey")) <= 1
+    plan = cx.where("outx").join(cy, "family").where(near & (~F.col("outy") | (F.col("sizex") <= F.col("sizey"))))
+    at = ["family", "sizex", "outy", "sizey", "bx", "by"]
+    count = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    x = d.where("out").select("family", F.col("size").alias("sizex"), F.col("block").alias("bx"), F.col("rows").alias("x"))
+    x = x.join(plan, ["family", "sizex"]).withColumn("by", count("blocksy"))
+    y = d.select("family", F.col("out").alias("outy"), F.col("size").alias("sizey"), F.col("block").alias("by"), F.col("rows").alias("y"))
+    y = y.join(plan, ["family", "outy", "sizey"]).withColumn("bx", count("blocksx"))
+    once = ~F.col("outy") | (F.col("sizex") < F.col("sizey")) | (F.col("bx") <= F.col("by"))
+    both = x.where(once).select(*at, "x").join(y.where(once).select(*at, "y"), at)
 
     def similar(p: Column, q: Column) -> Column:
-        same = F.size(F.array_intersect(p["set"], q["set"]))
-        close = _alike_sizes(p["n"], q["n"], percent) & (same * 100 >= (p["n"] + q["n"] - same) * percent)
-        return (p["c"] != q["c"]) & close
+        alike = (p["c"] != q["c"]) & _alike_sizes(p["n"], q["n"], percent)
+        overlap = F.size(F.array_intersect(p["sketch"], q["sketch"])) >= least_overlap(p["n"], q["n"], k, percent)
+        exact = _enough(F.size(F.array_intersect(p["set"], q["set"])), F.size(p["set"]), F.size(q["set"]), percent)
+        return alike & ((F.greatest(p["n"], q["n"]) <= k) | overlap) & exact
 
-    found = F.flatten(
-        F.transform("x", lambda p: F.transform(F.filter("y", lambda q: similar(p, q)), lambda q: F.struct(F.least(p["id"], q["id"]).alias("a"), F.greatest(p["id"], q["id"]).alias("b"))))
-    )
-    return written(both.select(F.explode_outer(found).alias("l")).where("l IS NOT NULL").select("l.a", "l.b").distinct(), "links")
+    kind = members.schema["id"].dataType.simpleString()
+
+    def links(p: Column) -> Column:
+        met = F.struct(F.array().cast(f"array<{kind}>").alias("seen"), F.array().cast(f"array<struct<a:{kind},b:{kind}>>").alias("links"))
+        more = lambda acc, q: F.struct(
+            F.concat(acc["seen"], F.array(q["c"])).alias("seen"),
+            F.concat(acc["links"], F.array(F.struct(F.least(p["id"], q["id"]).alias("a"), F.greatest(p["id"], q["id"]).alias("b")))).alias("links"),
+        )
+        add = lambda acc, q: F.when(~F.array_contains(acc["seen"], q["c"]) & similar(p, q), more(acc, q)).otherwise(acc)
+        return F.aggregate("y", met, add, lambda acc: acc["links"])
+
+    found = F.flatten(F.transform("x", links))
+    out = written(both.select(F.explode_outer(found).alias("l")).where("l IS NOT NULL").select("l.a", "l.b").distinct(), "links")
+    for t in (cells, wanted, sets, d):
+        forget(t)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -183,27 +203,23 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", F.col("c").alias("component"))
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 5,
-    percent: int = 80,
-    k: int = 96,
-    hot_share: float = 0.003,
-) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links), kept.
+def _star(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each list's most central member, the one whose lists are the largest, with its other members."""
+    weight = lists.groupBy("id").agg(F.sum("members").alias("w"))
+    centre = lists.join(weight, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct(F.col("w"), F.xxhash64("id"))).alias("c"))
+    star = lists.join(centre.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")), "key")
+    star = star.where((F.col("id") != F.col("centre")) & _alike_sizes("n", "cn", percent))
+    return written(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "star")
 
-    Links: 100 * |A and B| >= ``percent`` * |A or B| over the sets of distinct ``shingle``-word shingles of the text
-    with A-Z lower-cased. Fewer words make one shingle of all; no words or null make an empty set, linked with nothing.
-    Equal sets (128 hash bits and size) are one class, so copies cost one row each. Null ids link with nothing: their
-    component_id is null and kept is true. Rows with one id are one document. Other columns are ignored; an empty table
-    gives an empty result.
-    """
-    ordered = _sets(docs, id_col, text_col, shingle).select("id", F.sort_array("set").alias("set"))
+
+def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, k: int) -> DataFrame:
+    """(id, digest, n, component, kept) of each row of ``docs``."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ordered = _sets(texts, shingle).select("id", "digest", F.sort_array("set").alias("set"))
     rows = written(
         ordered.select(
             "id",
+            "digest",
             F.size("set").alias("n"),
             F.xxhash64("set").alias("d1"),
             F.xxhash64(F.lit(17), F.col("set")).alias("d2"),
@@ -211,68 +227,56 @@ def near_duplicates(
         ),
         "sketches",
     )
-    classes = written(
-        rows.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes"
-    )
-    reps = written(
-        rows.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi")
-        .select("id", "n", "sketch")
-        .dropDuplicates(["id", "n"]),
-        "reps",
-    )
-    postings = _postings(reps, hot_share, percent, k)
-    shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    lists = written(postings.join(shared, "key"), "lists")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    wanted = lists.select("id").distinct()
-    sets = written(_sets(texts.join(wanted, "id", "left_semi"), "id", "text", shingle).dropDuplicates(["id"]), "sets")
-
-    weight = lists.groupBy("id").agg(F.sum("members").alias("w"))
-    centre = lists.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("m"), F.col("n").alias("cn"))).alias("c"))
-    star = (
-        lists.join(centre.select("key", (-F.col("c.m")).alias("centre"), "c.cn"), "key")
-        .where((F.col("id") != F.col("centre")) & _alike_sizes("n", "cn", percent))
-        .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-        .distinct()
-    )
-    star = written(star, "star")
-    links = _verified(star, reps, sets, k, percent)
+    known = rows.where("n > 0 AND id IS NOT NULL")
+    classes = written(known.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.any_value("sketch").alias("sketch")), "classes")
+    reps = classes.select("id", "n", "sketch")
+    lists = _lists(reps, percent, k)
+    star = _star(lists, percent)
+    links = _verified(star, reps, texts, shingle, k, percent)
     label = components(links)
 
     member = lists.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     parts = member.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    mixed = parts.groupBy("key").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.max(F.struct("m", (-F.col("c")).alias("c"))).alias("most")
-    )
-    mixed = mixed.where("parts > 1").select("key", "m", (-F.col("most.c")).alias("family"))
-    member = written(member.join(mixed, "key"), "members")
+    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.max_by("c", F.struct("m", "c")).alias("family"))
+    member = written(member.join(mixed.where("parts > 1").select("key", "m", "family"), "key"), "members")
     x, y = (member.where(F.col("m") <= SMALL).select("key", *[F.col(c).alias(c + e) for c in ("id", "n", "c")]) for e in "ab")
-    rest = (
-        x.join(y, (x.key == y.key) & (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & _alike_sizes("na", "nb", percent))
-        .select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = _verified(written(rest, "rest"), reps, sets, k, percent)
-    more = more.union(_in_blocks(member.where(F.col("m") > SMALL).select("family", "id", "c", "n").distinct(), sets, percent))
-    label = components(links.union(more))
-
-    found = (
-        classes.join(label, classes.rep == label.id, "left")
-        .select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
-    )
-    ids = rows.select("id", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
+    rest = x.join(y, (x.key == y.key) & (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & _alike_sizes("na", "nb", percent))
+    rest = rest.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    rest = written(rest.distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    long = _in_blocks(member.where(F.col("m") > SMALL).select("family", "id", "c", "n").distinct(), reps, texts, shingle, k, percent)
+    label = components(links.union(_verified(rest, reps, texts, shingle, k, percent)).union(long))
+    for d in (lists, star, member, long, rest):
+        forget(d)
+
+    found = classes.join(label, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
+    marked = rows.select("id", "digest", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
     component = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "id"))
-    return ids.select(
-        F.col("id").alias(id_col),
-        F.col("n").cast("bigint").alias("n_shingles"),
-        component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+    return marked.select("id", "digest", "n", component.alias("component"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = 96
+) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links), kept.
+
+    Links: 100 * |A and B| >= ``percent`` * |A or B| over the sets of distinct ``shingle``-word shingles of the text
+    with A-Z lower-cased. Fewer words make one shingle of all; no words or null make an empty set, linked with nothing.
+    Equal sets (128 hash bits and size) are one class, so copies cost one row each. Null ids link with nothing: their
+    component_id is null and kept is true. Rows with one id are one document, linked where any of its texts is. Other
+    columns are ignored; an empty table gives an empty result.
+    """
+    marks = _marks(docs, id_col, text_col, shingle, percent, k)
+    return marks.select(
+        F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"), "kept"
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns stay as they are."""
-    marks = near_duplicates(docs, id_col, text_col, **options)
-    gone = marks.where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = 96
+) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; all columns stay as they are. Rows go
+    by id and text, so that an id on two texts loses only the one that ``near_duplicates`` does not keep."""
+    marks = _marks(docs, id_col, text_col, shingle, percent, k)
+    gone = marks.where(~F.col("kept")).select(F.col("id").alias("__gone_id"), F.col("digest").alias("__gone_text")).distinct()
+    digest = F.unhex(F.md5(text_or_empty(docs[text_col])))
+    return docs.join(gone, (docs[id_col] == F.col("__gone_id")) & (digest == F.col("__gone_text")), "left_anti")

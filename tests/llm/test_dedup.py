@@ -74,7 +74,31 @@ def test_exact_matches_brute_force(spark):
         assert (r.keep_id, r.group_size, r.kept) == (max(ids) if ids else None, len(same), i == (max(ids) if ids else None))
     left = drop_exact_duplicates(docs(spark, rows), keep="max")
     assert left.columns == docs(spark, rows).columns
-    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 2, 3, 5, 6, 7, 9]
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 2, 3, 5, 6, 7, 9]
+
+
+def test_drop_goes_by_text_not_by_id(spark):
+    rows = [(1, "x"), (1, "y"), (2, "x"), (3, "X"), (None, "x"), (None, "X"), (4, "z"), (4, "z"), (None, None), (None, ""), (5, "Y ")]
+    for keep, best in (("max", 3), ("min", 1)):
+        left = drop_exact_duplicates(docs(spark, rows), keep=keep).collect()
+        assert sorted((str(r.doc_id), lower(r.text)) for r in left) == sorted([(str(best), "x"), ("1", "y"), ("4", "z"), ("None", ""), ("5", "y ")])
+        kept = {(r.doc_id, r.text_sha256) for r in mark_exact_duplicates(docs(spark, rows), keep=keep).where("kept").collect()}
+        assert {(r.doc_id, hashlib.sha256(lower(r.text).encode()).hexdigest()) for r in left} == kept
+    assert drop_exact_duplicates(docs(spark, [])).collect() == []
+
+
+def test_bytes_tell_collisions_of_the_hash_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from spanforge.llm import exact_dedup as E
+
+    monkeypatch.setattr(E, "content_hash", lambda text: F.unhex(F.left(F.md5(text), F.lit(2))))
+    for bound in (1_000_000, 0):
+        monkeypatch.setattr(E, "BROADCAST_GROUPS", bound)
+        rows = [(i, f"text {i % 700}") for i in range(1000)]
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in mark_exact_duplicates(docs(spark, rows), keep="max").collect()}
+        assert got == {i: ((i + 700 if i < 300 else i), 1 + (i < 300 or i >= 700)) for i in range(1000)}
+        assert sorted(r.doc_id for r in drop_exact_duplicates(docs(spark, rows), keep="min").collect()) == list(range(700))
 
 
 def test_exact_empty(spark):
@@ -85,7 +109,7 @@ def test_near_matches_brute_force(spark):
     for size, seed in ((2, 1), (5, 2)):
         rows = made_up(seed, 260)
         want = brute_components(rows, size)
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), shingle=size, hot_share=0.05).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), shingle=size).collect()}
         assert got == want
         assert len(set(c for _, c in want.values())) < len(rows) - 20
 
@@ -99,13 +123,19 @@ def test_near_nulls_repeats_empty(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "7", "None"]
 
 
+def test_drop_near_goes_by_id_and_text(spark):
+    rows = [(1, "a b c d"), (2, "A B c d"), (2, "quite other words"), (3, "e f g"), (3, "e f g"), (4, "E F G")]
+    left = drop_near_duplicates(docs(spark, rows), shingle=2).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(1, "a b c d"), (2, "quite other words"), (3, "e f g"), (3, "e f g")]
+
+
 def test_long_lists_go_block_by_block(spark, monkeypatch):
     import spanforge.llm.near_dedup as N
 
     monkeypatch.setattr(N, "SMALL", 3)
     monkeypatch.setattr(N, "BLOCK", 7)
     rows = made_up(9, 160)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), shingle=2, hot_share=0.05).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), shingle=2).collect()}
     assert got == brute_components(rows, 2)
 
 
@@ -122,7 +152,7 @@ def mostly_shared(seed, pairs, n, ordinary):
 
 def missed(spark, rows, size=1):
     want = brute_components(rows, size)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), shingle=size, hot_share=0.1).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows), shingle=size).collect()}
     assert set(got) == set(want)
     return sorted(i for i in want if got[i] != want[i])
 
@@ -133,5 +163,17 @@ def test_few_shared_runs_are_candidates(spark):
 
 
 def test_shared_part_all_hot(spark):
-    """Of a full sketch, more values than their share may be a document's own: its hot runs are listed all the same."""
+    """Of a full sketch, more values than their share may be a document's own."""
     assert missed(spark, mostly_shared(1, 60, 300, 0)) == []
+
+
+def test_boilerplate_of_any_share(spark):
+    """Sets over k of which 30, 60 and 90 % are passages that all others have too; links at 0.8 and a little above."""
+    for share in (30, 60, 90):
+        r = random.Random(share)
+        passage, rows = [f"p{i}" for i in range(4 * share)], []
+        for p in range(60):
+            own = [f"o{p}x{i}" for i in range(400 - 4 * share)]
+            for j, more in enumerate((0, r.randint(60, 100), r.randint(95, 140))):
+                rows.append((3 * p + j, " ".join(passage + own + [f"m{p}x{j}x{i}" for i in range(more)])))
+        assert missed(spark, rows) == []
