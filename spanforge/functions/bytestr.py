@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,20 +20,53 @@ def to_text(s: Column) -> Column:
     return F.make_valid_utf8(to_bytes(s).cast("string"))
 
 
+#: Elements that a running sum takes together.
+RUN = 64
+
+
+def running_sums(d: DataFrame, lengths: list[str]) -> DataFrame:
+    """``d`` with each named array of numbers replaced by its running sums, made in the row: sums inside runs of elements
+    first, then over the runs, so that a long array costs little more than its length. Level by level, because what a
+    lambda refers to more than once must be a column."""
+    rest = [c for c in d.columns if c not in lengths]
+
+    def level(make) -> None:
+        nonlocal d
+        d = d.select(*rest, *[make(F.col(c)).alias(c) for c in lengths])
+
+    def sums(numbers: Column, value=lambda x: x) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("sums"), F.lit(0).cast("bigint").alias("at"))
+        add = lambda acc, x: F.struct(F.concat(acc["sums"], F.array(acc["at"] + value(x))).alias("sums"), (acc["at"] + value(x)).alias("at"))
+        return F.aggregate(numbers, start, add, lambda acc: acc["sums"])
+
+    level(lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 1, F.lit(0)), F.lit(RUN)), lambda b: F.slice(c, b + 1, F.lit(RUN))))
+    level(lambda c: F.transform(c, lambda run: sums(run)))
+    level(lambda c: F.struct(c.alias("inside"), sums(c, lambda run: F.coalesce(F.try_element_at(run, F.lit(-1)), F.lit(0))).alias("upto")))
+    level(lambda c: F.flatten(F.transform(c["inside"], lambda run, i: F.transform(run, lambda x: x + F.when(i > 0, F.get(c["upto"], i - 1)).otherwise(0)))))
+    return d
+
+
+def located(docs: DataFrame, patterns: list[str], s: str = "s") -> DataFrame:
+    """``docs`` with x0, x1, ...: the matches of each pattern in the byte string column, in order, as an array of (ord,
+    start, end, value). One pass over the rows, without a shuffle."""
+    own, n = [F.col(c) for c in docs.columns], range(len(patterns))
+    d = docs.select(*own, *[F.regexp_extract_all(s, F.lit(p), 0).alias(f"_m{i}") for i, p in enumerate(patterns)], *[F.split(s, p).alias(f"_g{i}") for i, p in enumerate(patterns)])
+    length = lambda g, m: (F.length(g) + F.coalesce(F.length(m), F.lit(0))).cast("bigint")
+    found = [F.col(f"_m{i}") for i in n]
+    d = d.select(*own, *found, *[F.zip_with(f"_g{i}", f"_m{i}", length).alias(f"_n{i}") for i in n])
+    d = running_sums(d, [f"_n{i}" for i in n])
+    ends = [F.slice(f"_n{i}", F.lit(1), F.size(f"_m{i}")) for i in n]
+    span = lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value"))
+    d = d.select(*own, *[F.zip_with(f"_m{i}", ends[i], span).alias(f"x{i}") for i in n])
+    placed = lambda x, i: F.struct(i.cast("bigint").alias("ord"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))
+    return d.select(*own, *[F.transform(f"x{i}", placed).alias(f"x{i}") for i in n])
+
+
 def matches(docs: DataFrame, pattern: str, key: str = "doc_id", s: str = "s") -> DataFrame:
-    """(key, ord, start, end, value) of every match of ``pattern`` in the byte string column, in order."""
-    parts = docs.select(
-        F.col(key), F.posexplode(F.arrays_zip(F.regexp_extract_all(s, F.lit(pattern), 0).alias("m"), F.split(s, pattern).alias("g")))
-    ).select(key, "pos", "col.*")
-    w = Window.partitionBy(key).orderBy("pos")
-    upto = F.sum(F.length("g") + F.coalesce(F.length("m"), F.lit(0))).over(w)
-    return parts.withColumn("end", upto).where("m IS NOT NULL").select(
-        key,
-        F.col("pos").cast("bigint").alias("ord"),
-        (F.col("end") - F.length("m")).alias("start"),
-        "end",
-        F.col("m").alias("value"),
-    )
+    """(key, ord, start, end, value) of every match of ``pattern`` in the byte string column, in order. Narrow: rows are
+    only multiplied."""
+    d = located(docs.select(key, s), [pattern], s)
+    return d.select(key, F.explode_outer("x0").alias("x")).where("x IS NOT NULL").select(key, "x.*")
 
 
 def line_of(s: Column, at: Column) -> Column:

@@ -43,23 +43,33 @@ def same_type_union(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def resolve(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Who owns each byte: validated rule spans first, then confidence, length, type order and start; losers keep the
-    pieces that are left. Empty and negative spans are dropped. Boundaries cut a document into elementary intervals,
-    each goes to its best span, and neighbours of one owner are joined again."""
-    ok = spans.where("start >= 0 AND start < end")
-    types = ok.groupBy(key, "type").agg(F.min("ord").alias("tix"))
-    m = same_type_union(ok, key).join(types, [key, "type"])
-    cuts = m.select(key, F.col("start").alias("a")).union(m.select(key, F.col("end").alias("a"))).distinct()
-    seg = cuts.withColumn("z", F.lead("a").over(Window.partitionBy(key).orderBy("a"))).where("z IS NOT NULL")
-    owned = seg.join(m, key).where((F.col("start") <= F.col("a")) & (F.col("z") <= F.col("end")))
+    pieces that are left. Empty and negative spans are dropped.
+
+    One shuffle, by document: windows and groups below keep to it. A document's spans fall into clusters that overlap
+    nothing else; inside a cluster, boundaries cut elementary intervals, each goes to its best span, and neighbours of
+    one owner are joined again."""
+    ok = spans.where("start >= 0 AND start < end").select(key, "ord", "start", "end", "type", "conf", "source").repartition(key)
+    ok = ok.withColumn("tix", F.min("ord").over(Window.partitionBy(key, "type")))
+    d = islands(ok, [key, "type"], F.col("start") < F.col("reach"), ["start", F.desc("end"), "ord"])
+    m = d.groupBy(key, "type", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("conf").alias("conf"), joined_sources().alias("source"), F.min("tix").alias("tix")
+    )
+    m = islands(m.withColumnRenamed("island", "own"), [key], F.col("start") < F.col("reach"))
     valid = (F.col("type").isin(*VALIDATED) & F.contains("source", F.lit("rules"))).cast("int")
-    rank = F.struct(valid, "conf", F.col("end") - F.col("start"), -F.col("tix"), -F.col("start"))
-    best = owned.groupBy(key, "a", "z").agg(F.max_by(F.struct("type", "island", "conf", "source"), rank).alias("o")).select(key, "a", "z", "o.*")
-    w = Window.partitionBy(key).orderBy("a")
-    same = (F.lag("z").over(w) == F.col("a")) & (F.lag("type").over(w) == F.col("type")) & (F.lag("island").over(w) == F.col("island"))
-    piece = best.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("piece", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return piece.groupBy(key, "piece").agg(
-        F.min("a").alias("start"), F.max("z").alias("end"), F.min("type").alias("type"), F.max("conf").alias("conf"), F.min("source").alias("source")
-    ).drop("piece")
+    rank = F.struct(valid.alias("r0"), F.col("conf").alias("r1"), (F.col("end") - F.col("start")).alias("r2"), (-F.col("tix")).alias("r3"), (-F.col("start")).alias("r4"), "start", "end", "type", "own", "conf", "source")
+    c = m.groupBy(key, "island").agg(F.collect_list(rank).alias("m"))
+    cuts = F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda x: F.array(x["start"], x["end"])))))
+    c = c.select(key, "island", "m", cuts.alias("cuts"))
+    best = lambda a, z: F.array_max(F.filter("m", lambda x: (x["start"] <= a) & (z <= x["end"])))
+    pieces = F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), lambda a, i: F.struct(a.alias("a"), F.get("cuts", i + 1).alias("z"), best(a, F.get("cuts", i + 1)).alias("o")))
+    c = c.select(key, "island", pieces.alias("p"))
+    p = F.col("p")
+    goes_on = lambda x, i: F.coalesce((F.get(p, i - 1)["o"]["type"] == x["o"]["type"]) & (F.get(p, i - 1)["o"]["own"] == x["o"]["own"]), F.lit(False))
+    heads = F.filter(F.transform(p, lambda x, i: F.when(~goes_on(x, i), F.struct(i.alias("i"), x["a"].alias("a"), x["o"].alias("o")))), lambda h: h.isNotNull())
+    c = c.select(key, "p", heads.alias("h"))
+    last = lambda i: F.get("p", F.coalesce(F.get("h", i + 1)["i"], F.size("p")) - 1)["z"]
+    whole = F.transform("h", lambda h, i: F.struct(h["a"].alias("start"), last(i).alias("end"), h["o"]["type"].alias("type"), h["o"]["conf"].alias("conf"), h["o"]["source"].alias("source")))
+    return c.select(key, F.explode_outer(whole).alias("w")).where("w IS NOT NULL").select(key, "w.*")
 
 
 def hidden(spans: DataFrame, key: str = "doc_id") -> DataFrame:

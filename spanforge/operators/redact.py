@@ -2,55 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytestr import to_bytes, to_text
+from ..functions.bytestr import running_sums, to_bytes, to_text
 from ..functions.values import normalize_value
 from .intervals import resolve
 
 
-def markers(docs: DataFrame, spans: DataFrame, key: str = "doc_id", s: str = "s") -> DataFrame:
-    """Resolved spans with value, norm, marker, out_start and out_end. Numbers count values of a type by their first
-    appearance, above the highest number that the document's own ``[TYPE_n]`` already has."""
-    d = docs.select(key, F.col(s).alias("_s"))
-    r = resolve(spans, key).join(d, key)
-    r = r.withColumn("value", F.substr("_s", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
-    r = r.withColumn("norm", normalize_value(F.col("type"), to_text(F.col("value"))))
-    numbers = F.regexp_extract_all("_s", F.concat(F.lit(r"\["), F.col("type"), F.lit(r"_([0-9]{1,9})\]")), 1)
-    r = r.withColumn("base", F.coalesce(F.array_max(F.transform(numbers, lambda x: x.cast("bigint"))), F.lit(0))).drop("_s")
-    r = r.withColumn("first", F.min("start").over(Window.partitionBy(key, "type", "norm")))
-    n = F.dense_rank().over(Window.partitionBy(key, "type").orderBy("first")) + F.col("base")
-    r = r.withColumn("marker", F.concat(F.lit("["), F.col("type"), F.lit("_"), n.cast("string"), F.lit("]")))
-    grown = F.sum(F.length("marker") - (F.col("end") - F.col("start"))).over(Window.partitionBy(key).orderBy("start"))
-    r = r.withColumn("out_end", F.col("end") + grown)
-    return r.withColumn("out_start", F.col("out_end") - F.length("marker")).drop("first", "base")
+def spliced(s: Column, pieces: Column, start: str, end: str, text: str) -> Column:
+    """``s`` with each piece's [start, end) replaced by its text; ``pieces`` is a column, in order."""
+    before = lambda i: F.when(i > 0, F.get(pieces, i - 1)[end]).otherwise(F.lit(0))
+    gap = lambda x, i: F.substr(s, (before(i) + 1).cast("int"), (x[start] - before(i)).cast("int"))
+    done = F.array_join(F.transform(pieces, lambda x, i: F.concat(gap(x, i), x[text])), "")
+    last = F.coalesce(F.try_element_at(pieces, F.lit(-1))[end], F.lit(0))
+    return F.concat(done, F.substr(s, (last + 1).cast("int")))
+
+
+def _with(x: Column, fields: list[str], **more: Column) -> Column:
+    return F.struct(*[x[f].alias(f) for f in fields], *[c.alias(name) for name, c in more.items()])
+
+
+def _entries(docs: DataFrame, spans: DataFrame, key: str, s: str) -> DataFrame:
+    """(key, s, entries) of every document: its resolved spans in order with value, marker, out_start and out_end.
+
+    Numbers count values of a type by their first appearance, above the highest number that the document's own
+    ``[TYPE_n]`` already has. The spans of a document come together once and meet its text in one join; all else happens
+    in its row, level by level, because what a lambda refers to more than once must be a column."""
+    fields = ["start", "end", "type", "conf", "source"]
+    lists = resolve(spans, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))
+    none = F.array().cast(lists.schema["e"].dataType)
+    d = docs.select(key, F.col(s).alias("s")).join(lists, key, "left").withColumn("e", F.coalesce("e", none))
+    value = lambda x: F.substr("s", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
+    d = d.withColumn("e", F.transform("e", lambda x: _with(x, fields, value=value(x))))
+    fields += ["value"]
+    norm = lambda x: F.concat(x["type"], F.lit("\0"), normalize_value(x["type"], to_text(x["value"])))
+    d = d.withColumn("e", F.transform("e", lambda x: _with(x, fields, norm=norm(x))))
+    d = d.withColumn("names", F.array_distinct(F.transform("e", lambda x: x["norm"])))
+    d = d.withColumn("types", F.array_distinct(F.transform("e", lambda x: x["type"])))
+    taken = lambda t: F.regexp_extract_all("s", F.concat(F.lit(r"\["), t, F.lit(r"_([0-9]{1,9})\]")), 1)
+    base = lambda t: F.coalesce(F.array_max(F.transform(taken(t), lambda n: n.cast("bigint"))), F.lit(0).cast("bigint"))
+    d = d.withColumn("types", F.transform("types", lambda t: F.struct(t.alias("type"), base(t).alias("base"))))
+    own = lambda t: F.filter("names", lambda n: F.substring_index(n, "\0", 1) == t["type"])
+    numbered = F.transform("types", lambda t: F.transform(own(t), lambda n, i: F.struct(n.alias("norm"), (i + 1 + t["base"]).alias("n"))))
+    d = d.withColumn("numbers", F.map_from_entries(F.flatten(numbered)))
+    marker = lambda x: F.concat(F.lit("["), x["type"], F.lit("_"), F.try_element_at("numbers", x["norm"]).cast("string"), F.lit("]"))
+    d = d.withColumn("e", F.transform("e", lambda x: _with(x, [*fields, "norm"], marker=marker(x))))
+    fields += ["norm", "marker"]
+    d = d.select(key, "s", "e", F.transform("e", lambda x: F.length(x["marker"]) - (x["end"] - x["start"])).alias("grown"))
+    d = running_sums(d, ["grown"])
+    out_end = lambda x, i: x["end"] + F.get("grown", i)
+    made = lambda x, i: _with(x, fields, out_start=out_end(x, i) - F.length(x["marker"]), out_end=out_end(x, i))
+    return d.select(key, "s", F.transform("e", made).alias("entries"))
 
 
-def spliced(s: Column, pieces: Column, start: str, end: str, text: str) -> Column:
-    """``s`` with each piece's [start, end) replaced by its text; pieces in order."""
-    fold = F.aggregate(
-        pieces,
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, x: F.struct(
-            F.concat(acc["out"], F.substr(s, (acc["at"] + 1).cast("int"), (x[start] - acc["at"]).cast("int")), x[text]).alias("out"),
-            x[end].alias("at"),
-        ),
-    )
-    return F.concat(fold["out"], F.substr(s, (fold["at"] + 1).cast("int")))
+def markers(docs: DataFrame, spans: DataFrame, key: str = "doc_id", s: str = "s") -> DataFrame:
+    """Resolved spans (key, start, end, type, conf, source) with value, norm, marker, out_start and out_end."""
+    d = _entries(docs, spans, key, s).select(key, F.explode_outer("entries").alias("x")).where("x IS NOT NULL").select(key, "x.*")
+    return d.withColumn("norm", F.substr("norm", F.length("type") + 2))
 
 
 def redact(docs: DataFrame, spans: DataFrame, key: str = "doc_id", s: str = "s") -> DataFrame:
     """(key, s, out, entries): the redacted byte string of every document. The check that what is between the markers is
     the original, byte for byte, is part of the plan and raises."""
-    m = markers(docs, spans, key, s)
-    entry = F.struct("start", "end", "type", "marker", "conf", "source", "out_start", "out_end", "value")
-    lists = m.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    none = F.array().cast(lists.schema["entries"].dataType)
-    d = docs.select(key, F.col(s).alias("s")).join(lists, key, "left").withColumn("entries", F.coalesce("entries", none))
+    d = _entries(docs, spans, key, s)
+    names = ["start", "end", "type", "marker", "conf", "source", "out_start", "out_end", "value"]
+    d = d.withColumn("entries", F.transform("entries", lambda x: _with(x, names)))
     d = d.withColumn("out", spliced(F.col("s"), F.col("entries"), "start", "end", "marker"))
     back = spliced(F.col("out"), F.col("entries"), "out_start", "out_end", "value")
-    return d.withColumn("out", F.when(back == F.col("s"), F.col("out")).otherwise(F.raise_error(F.lit("the copy differs outside the markers"))))
+    return d.select(key, "s", F.when(back == F.col("s"), F.col("out")).otherwise(F.raise_error(F.lit("the copy differs outside the markers"))).alias("out"), "entries")
 
 
 def report(redacted: DataFrame, key: str = "doc_id") -> DataFrame:

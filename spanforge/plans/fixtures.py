@@ -3,12 +3,10 @@ rely on: the engine takes spans from rules, models or callers."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bytestr import byte_string, matches
+from ..functions.bytestr import byte_string, located
 
 #: type, expression that Java and RE2 read alike, confidence, source
 DETECTORS = [
@@ -30,33 +28,48 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", byte_string(F.col("text")).alias("s"))
 
 
-def plain_spans(docs: DataFrame) -> DataFrame:
-    found = [
-        matches(docs, p).select("doc_id", "start", "end", "value", F.lit(t).alias("type"), F.lit(c).alias("conf"), F.lit(s).alias("source"), (F.lit(i * 1_000_000).cast("bigint") + F.col("ord")).alias("ord"))
-        for i, (t, p, c, s) in enumerate(DETECTORS)
-    ]
-    return reduce(DataFrame.union, found)
+def _detected(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``found``: what all detectors find in the row."""
+    own = docs.columns
+    d = located(docs, [p for _, p, _, _ in DETECTORS])
+
+    def typed(i: int, t: str, c: float, source: str) -> Column:
+        return F.transform(
+            f"x{i}",
+            lambda x: F.struct(
+                x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.lit(t).alias("type"), F.lit(c).alias("conf"), F.lit(source).alias("source"),
+                (x["ord"] + i * 1_000_000).alias("ord"),
+            ),
+        )
+
+    return d.select(*own, F.concat(*[typed(i, t, c, source) for i, (t, _, c, source) in enumerate(DETECTORS)]).alias("found"))
+
+
+def plain_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` of the documents, start, end, value, type, conf, source, ord. One pass, no shuffle."""
+    d = _detected(docs).select(*keep, F.explode_outer("found").alias("f"))
+    return d.where("f IS NOT NULL").select(*keep, "f.*")
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, ord, start, end, type, conf, source, member, base64: with conflicts, ties and an ensemble of three."""
-    base = plain_spans(docs)
-    copies = [
-        base.select(
-            "doc_id",
-            (F.col("ord") + m * 100_000_000).alias("ord"),
-            F.greatest(F.col("start") + a, F.lit(0)).alias("start"),
-            (F.col("end") + z).alias("end"),
-            (F.lit(t) if t else F.col("type")).alias("type"),
-            (F.col("conf") + c).alias("conf"),
-            (F.lit(s) if s else F.col("source")).alias("source"),
+    """doc_id, ord, start, end, type, conf, source, member, base64: with conflicts, ties and an ensemble of three. The
+    copies are made in the document's row."""
+
+    def copy(x: Column, m: int, a: int, z: int, t: str | None, c: float, source: str | None) -> Column:
+        return F.struct(
+            (x["ord"] + m * 100_000_000).alias("ord"),
+            F.greatest(x["start"] + a, F.lit(0).cast("bigint")).alias("start"),
+            (x["end"] + z).alias("end"),
+            (F.lit(t) if t else x["type"]).alias("type"),
+            (x["conf"] + c).alias("conf"),
+            (F.lit(source) if source else x["source"]).alias("source"),
             F.lit(m).alias("member"),
             F.lit(m == 1).alias("base64"),
         )
-        for m, a, z, t, c, s in COPIES
-    ]
-    size = docs.select("doc_id", F.length("s").alias("n"))
-    return reduce(DataFrame.union, copies).join(size, "doc_id").where("end <= n").drop("n")
+
+    d = _detected(docs).select("doc_id", F.length("s").alias("n"), "found")
+    d = d.select("doc_id", "n", F.explode_outer(F.flatten(F.transform("found", lambda x: F.array(*[copy(x, *how) for how in COPIES])))).alias("f"))
+    return d.where("f IS NOT NULL AND f.end <= n").select("doc_id", "f.*")
 
 
 def matches_sql(name: str, pattern: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
