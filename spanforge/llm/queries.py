@@ -37,10 +37,10 @@ def op1_byte_bpe(spark, sf_dir):
     )
 
 
-def _labelled(spark, sf_dir, label: str, rows: int, chars: int, convert) -> list:
+def _labelled(spark, sf_dir, label: str, rows: int) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn_from = lambda i: ~held_out(i)
-    return quality_classifier.fit_sample(documents(spark, sf_dir), labels, label, "doc_id", "text", rows, chars, learn_from, convert)
+    return quality_classifier.labelled_sample(documents(spark, sf_dir), labels, label, "doc_id", "text", rows, learn_from)
 
 
 def _scored(scores: DataFrame, threshold: float) -> DataFrame:
@@ -49,12 +49,12 @@ def _scored(scores: DataFrame, threshold: float) -> DataFrame:
 
 
 def op5_quality_classifier(spark, sf_dir):
-    model = quality_classifier.fit(_labelled(spark, sf_dir, "quality", quality_classifier.FIT_ROWS, quality_classifier.FIT_BYTES, quality_classifier.fit_bytes))
+    model = quality_classifier.fit_frame(_labelled(spark, sf_dir, "quality", quality_classifier.FIT_ROWS))
     return _scored(quality_classifier.score_quality(documents(spark, sf_dir), model), 0.3)
 
 
 def toxicity_model(spark, sf_dir) -> toxicity.FtrlModel:
-    return toxicity.fit(_labelled(spark, sf_dir, "toxic", toxicity.FIT_ROWS, toxicity.FIT_CHARS, toxicity.Hasher().features))
+    return toxicity.fit_frame(_labelled(spark, sf_dir, "toxic", toxicity.FIT_ROWS))
 
 
 def op6_toxicity(spark, sf_dir):

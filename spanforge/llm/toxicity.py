@@ -8,17 +8,19 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of what the fit reads: labelled rows (the least by a hash of the id) and characters of each of their texts;
-#: and the feature space.
-FIT_ROWS, FIT_CHARS, BITS = 16_384, 32_768, 20
+#: Labelled rows that the fit reads at most: those with the least hash of their id. Their texts are read whole, and each
+#: gives at most 2**BITS features.
+FIT_ROWS, BITS = 16_384, 20
 REMEMBERED = 300_000
 WORD = re.compile(r"\w+").findall
 
@@ -74,23 +76,22 @@ class FtrlModel:
         return self.__dict__ | {"_dense": None}
 
 
-def fit(rows: list[tuple[str | np.ndarray | None, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 2.0, l2: float = 0.02, epochs: int = 8, least: int = 3, bits: int = BITS) -> FtrlModel:
-    """FTRL-proximal over (text or its features, label 0 or 1), in the given order, ``epochs`` times. Buckets of fewer than ``least``
-    texts are left out: one text's rare words would explain its label and starve the words that texts share."""
-    hasher = Hasher(bits)
-    data = [(t if isinstance(t, np.ndarray) else hasher.features(t), float(y)) for t, y in rows]
-    seen = np.zeros(1 << bits, np.int32)
-    for x, _ in data:
-        seen[x] += 1
-    data = [(x[seen[x] >= least], y) for x, y in data]
+def _ftrl(flat: np.ndarray, ends: np.ndarray, labels: np.ndarray, bits: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, least: int) -> FtrlModel:
+    """``flat`` holds the features of all rows in order, row i up to ``ends[i]``."""
+    enough = np.bincount(flat, minlength=1 << bits) >= least
+    keep = enough[flat]
+    ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+    flat, y = flat[keep], labels.astype(float)
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bz = bn = bias = 0.0
     for _ in range(epochs):
-        for x, y in data:
+        start = 0
+        for end, label in zip(ends.tolist(), y.tolist()):
+            x, start = flat[start:end], end
             zx, nx = z[x], n[x]
             w = np.where(np.abs(zx) <= l1, 0.0, -(zx - np.sign(zx) * l1) / ((beta + np.sqrt(nx)) / alpha + l2))
             bias = -bz / ((beta + np.sqrt(bn)) / alpha)
-            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -30, 30))) - y
+            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -30, 30))) - label
             more = nx + g * g
             z[x] = zx + g - (np.sqrt(more) - np.sqrt(nx)) / alpha * w
             n[x] = more
@@ -98,14 +99,60 @@ def fit(rows: list[tuple[str | np.ndarray | None, int]], alpha: float = 1.0, bet
             bn += g * g
     some = np.flatnonzero(np.abs(z) > l1)
     w = -(z[some] - np.sign(z[some]) * l1) / ((beta + np.sqrt(n[some])) / alpha + l2)
-    if not data:
-        bias = -2.0
-    return FtrlModel(some.astype(np.int32), w.astype(np.float32), float(bias), bits)
+    return FtrlModel(some.astype(np.int32), w.astype(np.float32), float(bias) if len(y) else -2.0, bits)
+
+
+#: Rates, bounds and passes of the fit. Buckets of fewer than ``least`` texts are left out: one text's rare words would
+#: explain its label and starve the words that texts share.
+RATES = {"alpha": 1.0, "beta": 1.0, "l1": 2.0, "l2": 0.02, "epochs": 8, "least": 3}
+
+
+def fit(rows: list[tuple[str | None, int]], bits: int = BITS, **rates) -> FtrlModel:
+    """FTRL-proximal over (text, label 0 or 1) in the given order, ``epochs`` times."""
+    hasher = Hasher(bits)
+    features = [hasher.features(t) for t, _ in rows]
+    flat = np.concatenate([np.empty(0, np.int32), *features])
+    return _ftrl(flat, np.cumsum([len(x) for x in features], dtype=np.int64), np.array([y for _, y in rows]), bits, **RATES | rates)
+
+
+def fit_frame(sample: DataFrame, bits: int = BITS, **rates) -> FtrlModel:
+    """``fit`` of a ``labelled_sample`` on the executors: features are made where the texts are; one task passes over
+    them, in the order of the ids' hashes, as one array of 4 bytes each. The driver sees the weights alone, which the L1
+    bound keeps few."""
+    rates = RATES | rates
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(bits)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                x = pa.array([hasher.features(t) for t in part.column("t").to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("id"), part.column("y"), x], names=["h", "id", "y", "x"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, counts, labels = array("i"), [0], []
+        for batch in batches:
+            labels += batch.column(0).to_pylist()
+            counts += pc.list_value_length(batch.column(1)).to_pylist()
+            flat.frombytes(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
+        got = _ftrl(np.frombuffer(flat, np.int32), np.cumsum(counts, dtype=np.int64)[1:], np.array(labels), bits, **rates)
+        index, weight = np.append(got.index, -1), np.append(got.weight, got.bias)  # the bias last, as bucket -1
+        yield pa.RecordBatch.from_arrays([pa.array(index, pa.int32()), pa.array(weight, pa.float64())], names=["bucket", "weight"])
+
+    kind = sample.schema["id"].dataType.simpleString()
+    made = sample.select("h", "id", "y", "t").mapInArrow(features, f"h bigint, id {kind}, y int, x array<int>")
+    one = made.repartition(1).sortWithinPartitions("h", "id").select("y", "x")
+    got = one.mapInArrow(learn, "bucket int, weight double").toArrow()
+    if not got.num_rows:  # no row, so no task
+        return fit([], bits)
+    index, weight = got.column("bucket").to_numpy(), got.column("weight").to_numpy()
+    return FtrlModel(index[:-1], weight[:-1].astype(np.float32), float(weight[-1]), bits)
 
 
 def score_toxicity(docs: DataFrame, model: FtrlModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): how likely label 1 is for each whole text, 0 to 1. Null counts as empty; an empty text has the score
-    of the bias. Other columns are ignored. The weights are as many as the L1 bound leaves, at most 2**bits."""
+    """(id, score) of each row: how likely label 1 is for the whole text, 0 to 1. Null counts as empty; an empty text has
+    the score of the bias; repeated rows score alike, each by itself. Other columns are ignored; an empty table gives an
+    empty result. The weights are as many as the L1 bound leaves, at most 2**bits."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

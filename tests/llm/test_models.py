@@ -101,14 +101,103 @@ def test_scores_of_odd_inputs(spark, fit, score):
     assert score(docs(spark, []), model).collect() == []
 
 
-def test_fit_sample_learns_from_allowed_rows_only(spark):
+def test_sample_learns_from_allowed_rows_only(spark):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(50)] + [(7, 1, None), (None, 1, 1), (8, None, 1)], "doc_id bigint, quality int, toxic int")
-    table = docs(spark, [(i, f"text {i}") for i in range(60)])
-    rows = quality_classifier.fit_sample(table, labels, "quality", "doc_id", "text", 1000, 999, lambda i: ~queries.held_out(i))
-    used = sorted(int(t.split()[1]) for t, _ in rows)
-    assert used == [i for i in range(50) if zlib.crc32(str(i).encode()) % 5]
-    few = quality_classifier.fit_sample(table, labels, "quality", "doc_id", "text", 10, 3, None)
-    assert len(few) == 10 and {t for t, _ in few} == {"tex"}
+    table = docs(spark, [(i, f"text {i}") for i in range(60)] + [(1, f"text {i}") for i in range(100, 600)])
+    sample = lambda rows, learn: quality_classifier.labelled_sample(table, labels, "quality", "doc_id", "text", rows, learn).collect()
+    used = sorted((r.id, r.y, r.t) for r in sample(1000, lambda i: ~queries.held_out(i)))
+    assert used == [(i, i % 2, "text 1" if i == 1 else f"text {i}") for i in range(50) if zlib.crc32(str(i).encode()) % 5]
+    assert len(sample(10, None)) == 10
+    many = quality_classifier.labelled_sample(table, labels.where("doc_id = 1"), "quality", "doc_id", "text", 10).collect()
+    assert [(r.id, r.t) for r in many] == [(1, "text 1")]  # one row of the 501
+
+
+@pytest.fixture(scope="module")
+def telling(spark):
+    """Texts of a label that differ after 100 000 characters only, ids, labels."""
+    r = random.Random(8)
+    noise = lambda n: " ".join(f"w{r.randint(0, 5000)}" for _ in range(n))
+    rows = [(i, noise(20_000) + " " + " ".join([f"vile{r.randint(0, 9)} scum" if i % 2 else f"kind{r.randint(0, 9)} folk" for _ in range(40)])) for i in range(24)]
+    assert all(len(t) > 100_000 and min(t.find("vile"), t.find("kind")) < 0 for _, t in rows)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    return docs(spark, rows), labels
+
+
+def test_fits_read_whole_texts(spark, telling):
+    table, labels = telling
+    sample = quality_classifier.labelled_sample(table, labels, "toxic", "doc_id", "text", 100)
+    model = toxicity.fit_frame(sample)
+    hasher = toxicity.Hasher(model.bits)
+    assert model.score(hasher("vile3 scum vile4 scum")) > 0.5 > model.score(hasher("kind3 folk kind4 folk"))
+    want = toxicity.fit([(x.t, x.y) for x in sorted(sample.collect(), key=lambda x: (x.h, x.id))])
+    assert (model.index == want.index).all() and (model.weight == want.weight).all() and model.bias == pytest.approx(want.bias)
+
+
+def test_frame_fits_without_rows(spark):
+    empty = quality_classifier.labelled_sample(docs(spark, []), spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), "quality", "doc_id", "text", 9)
+    assert quality_classifier.fit_frame(empty).weights == (0.0, 0.0)
+    assert len(toxicity.fit_frame(empty).index) == 0
+
+
+def ftrl_by_the_book(rows, alpha, beta, l1, l2, epochs, least):
+    """One coordinate at a time in dictionaries, as the algorithm is published."""
+    from collections import Counter, defaultdict
+    from math import exp, sqrt
+
+    seen = Counter(f for x, _ in rows for f in x)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if i != "bias" and abs(z[i]) <= l1:
+            return 0.0
+        if i == "bias":
+            return -z[i] / ((beta + sqrt(n[i])) / alpha)
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            active = [f for f in x if seen[f] >= least] + ["bias"]
+            w = {i: weight(i) for i in active}
+            g = 1 / (1 + exp(-max(-30, min(30, sum(w.values()))))) - y
+            for i in active:
+                sigma = (sqrt(n[i] + g * g) - sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z if i != "bias" and weight(i)}
+
+
+def test_ftrl_equals_the_book():
+    r = random.Random(4)
+    rows = [(" ".join(r.choice("abcdefghij") + str(r.randint(0, 9)) for _ in range(30)) + (" vile scum" if i % 3 == 0 else " kind"), int(i % 3 == 0)) for i in range(120)]
+    hasher = toxicity.Hasher()
+    want = ftrl_by_the_book([(hasher.features(t).tolist(), y) for t, y in rows], **toxicity.RATES)
+    model = toxicity.fit(rows)
+    assert dict(zip(model.index.tolist(), model.weight.tolist())) == pytest.approx(want, rel=1e-4)
+
+
+def test_features_are_words_pairs_and_skip_pairs():
+    hasher = toxicity.Hasher()
+    one = lambda t: set(hasher.features(t).tolist())
+    assert len(one("a b c d")) == 4 + 3 + 2
+    assert one("A b c") - one("a") - one("b") - one("c") - one("a b") - one("b c") == one("a B c") - one("a b") - one("b c")
+    assert len((one("a x c") & one("a y c")) - one("a") - one("c")) == 1  # the skip-pair
+
+
+def test_score_is_the_calibrated_size_difference():
+    import zstandard
+
+    r = random.Random(5)
+    words = lambda kind: " ".join(f"{kind}{r.randint(0, 40)}" for _ in range(60))
+    model = quality_classifier.fit([(words("good" if i % 3 else "bad"), int(i % 3 > 0)) for i in range(120)])
+    for t in ["", "x", words("good"), words("bad"), words("other") * 50]:
+        size = {}
+        for name in ("good", "bad"):
+            d = zstandard.ZstdCompressionDict(getattr(model, name))
+            d.precompute_compress(level=quality_classifier.LEVEL)
+            size[name] = len(zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(t.encode()))
+        z = model.weights[0] + model.weights[1] * (size["bad"] - size["good"]) / (len(t.encode()) + 20)
+        assert model.score([t.encode()])[0] == pytest.approx(1 / (1 + np.exp(-z)))
+    assert model.weights[1] > 0
 
 
 def test_toxicity_weights_are_few():
