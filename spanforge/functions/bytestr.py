@@ -20,6 +20,11 @@ def to_text(s: Column) -> Column:
     return F.make_valid_utf8(to_bytes(s).cast("string"))
 
 
+def base64_line(content: Column) -> Column:
+    """Base64 without the line breaks that ``base64`` puts in after 76 characters."""
+    return F.translate(F.base64(content), "\r\n", "")
+
+
 #: Elements that a running sum takes together.
 RUN = 64
 
@@ -80,6 +85,11 @@ def column_of(s: Column, at: Column) -> Column:
     return (F.length(F.substring_index(F.substr(s, F.lit(1), at.cast("int")), "\n", -1)) + 1).cast("bigint")
 
 
+def code_point_column(s: Column, at: Column) -> Column:
+    """1-based column of a byte offset in characters of the UTF-8 text, as reports count columns."""
+    return (F.char_length(to_text(F.substring_index(F.substr(s, F.lit(1), at.cast("int")), "\n", -1))) + 1).cast("bigint")
+
+
 def line_around(s: Column, start: Column, end: Column) -> Column:
     before = F.substring_index(F.substr(s, F.lit(1), start.cast("int")), "\n", -1)
     after = F.substring_index(F.substr(s, (end + 1).cast("int")), "\n", 1)

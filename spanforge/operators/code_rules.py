@@ -88,6 +88,18 @@ def lines(docs: DataFrame, key: str = "doc_id", s: str = "s") -> DataFrame:
     return d.select(key, (F.col("line") + 1).alias("line"), (F.sum("x.n").over(w) - F.col("x.n")).alias("start"), F.col("x.p").alias("text"))
 
 
+def assigned_values(docs: DataFrame, key: str = "doc_id", s: str = "s") -> DataFrame:
+    """(key, line, start, end, value) of every line that is an assignment: its value without blanks at the end and
+    without quotes around it. What the rules below ask of a line, for all lines at once."""
+    d = lines(docs, key, s).withColumn("prefix", assignment_length(F.col("text"))).where("prefix IS NOT NULL")
+    d = d.withColumn("value", F.rtrim(F.substr("text", F.col("prefix") + 1), F.lit(" \t\r")))
+    first = F.left("value", F.lit(1))
+    quoted = (F.length("value") >= 2) & first.isin('"', "'", "`") & (first == F.right("value", F.lit(1)))
+    d = d.withColumn("quote", quoted.cast("int"))
+    a, n = F.col("start") + F.col("prefix") + F.col("quote"), F.length("value") - 2 * F.col("quote")
+    return d.select(key, "line", a.cast("bigint").alias("start"), (a + n).cast("bigint").alias("end"), F.substr("value", F.col("quote") + 1, n).alias("value"))
+
+
 def split_at_assignments(spans: DataFrame, docs: DataFrame, key: str = "doc_id", s: str = "s") -> DataFrame:
     """Spans (key, ord, start, end) cut at each line inside them that starts an assignment: the part before ends at the
     line feed, the next one starts at the value."""

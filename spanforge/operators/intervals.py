@@ -121,6 +121,18 @@ def vote_by_overlap(spans: DataFrame, votes: int, key: str = "doc_id") -> DataFr
     return grouped.select(key, "type", F.explode_outer(fold).alias("k")).where("k IS NOT NULL").select(key, "type", "k.*")
 
 
+def field_attribution(spans: DataFrame, queries: list[str], s: str = "s") -> DataFrame:
+    """``spans`` (start, and the document's byte string) with ``field``: the query whose last occurrence that ends before
+    the span on its line starts last; the first query on a tie, null without any. In the span's row: the line before the
+    span is searched from its end, so occurrences may overlap."""
+    line = F.substring_index(F.substr(s, F.lit(1), F.col("start").cast("int")), "\n", -1)
+    d = spans.withColumn("_line", line)
+    last = lambda q: F.length("_line") - F.instr(F.reverse("_line"), F.lit(q[::-1])) - len(q) + 1
+    codes = [q.encode().decode("latin-1") for q in queries]
+    found = [F.when(F.contains("_line", F.lit(c)), F.struct(last(c).alias("at"), F.lit(-i).alias("first"), F.lit(q).alias("field"))) for i, (q, c) in enumerate(zip(queries, codes))]
+    return d.withColumn("field", F.array_max(F.array_compact(F.array(*found)))["field"]).drop("_line")
+
+
 def touching(spans: DataFrame, ranges: DataFrame, key: str = "doc_id") -> DataFrame:
     """Spans that overlap any range (key, start, end): a semi-join on the key with a range condition."""
     r = ranges.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytestr import running_sums, to_bytes, to_text
+from ..functions.bytestr import base64_line, running_sums, to_bytes, to_text
 from ..functions.values import normalize_value
 from .intervals import resolve
 
@@ -64,7 +64,8 @@ def markers(docs: DataFrame, spans: DataFrame, key: str = "doc_id", s: str = "s"
 
 def redact(docs: DataFrame, spans: DataFrame, key: str = "doc_id", s: str = "s") -> DataFrame:
     """(key, s, out, entries): the redacted byte string of every document. The check that what is between the markers is
-    the original, byte for byte, is part of the plan and raises."""
+    the original, byte for byte, is part of the plan and raises. To make rows of ``entries`` use ``explode_outer``: for a
+    plain ``explode`` the optimizer infers a filter and pushes it below, where it makes all the steps again."""
     d = _entries(docs, spans, key, s)
     names = ["start", "end", "type", "marker", "conf", "source", "out_start", "out_end", "value"]
     d = d.withColumn("entries", F.transform("entries", lambda x: _with(x, names)))
@@ -92,7 +93,7 @@ def restore_map(redacted: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, map): JSON with version, sha256_out and, for each marker, offsets and the value in base64."""
     items = F.transform(
         "entries",
-        lambda x: F.struct(x["marker"].alias("marker"), x["out_start"].alias("start"), x["out_end"].alias("end"), F.base64(to_bytes(x["value"])).alias("value_b64")),
+        lambda x: F.struct(x["marker"].alias("marker"), x["out_start"].alias("start"), x["out_end"].alias("end"), base64_line(to_bytes(x["value"])).alias("value_b64")),
     )
     body = F.struct(F.lit(1).alias("version"), F.sha2(to_bytes(F.col("out")), 256).alias("sha256_out"), items.alias("entries"))
     return redacted.select(key, F.to_json(body).alias("map"))

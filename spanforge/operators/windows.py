@@ -35,6 +35,12 @@ def windows(docs: DataFrame, size: Column, window: int, stride: int | None = Non
     return d.withColumn("start", start).withColumn("length", F.least(F.lit(window).cast("bigint"), n - F.col("start"))).drop("_size", "_count")
 
 
+def whole_windows(docs: DataFrame, size: Column) -> DataFrame:
+    """``docs`` with win, start and length: one window for each document that is not empty."""
+    zero = F.lit(0).cast("bigint")
+    return docs.withColumn("win", zero).withColumn("start", zero).withColumn("length", size.cast("bigint")).where("length > 0")
+
+
 def slice_of(s: Column, start: Column, length: Column) -> Column:
     return F.substr(s, (start + 1).cast("int"), length.cast("int"))
 
@@ -47,19 +53,6 @@ def query_prefix(names: list[str], region: int) -> str:
     return head.ljust(region, "\n")
 
 
-def mark_skipped(wins: DataFrame, runs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``wins`` with ``skipped``: whether no run (key, start, end) touches the window. One shuffle, by document."""
-    kept = (
-        wins.select(key, "win", F.col("start").alias("ws"), (F.col("start") + F.col("length")).alias("we"))
-        .join(runs.select(F.col(key), F.col("start").alias("rs"), F.col("end").alias("re")), key)
-        .where((F.col("rs") < F.col("we")) & (F.col("ws") < F.col("re")))
-        .select(key, "win")
-        .distinct()
-        .withColumn("_kept", F.lit(True))
-    )
-    return wins.join(kept, [key, "win"], "left").withColumn("skipped", F.col("_kept").isNull()).drop("_kept")
-
-
 def ngram_rows(codes: Column, at: Column, order: int, order_index: int, head: int, buckets: int) -> Column:
     """Row of a hashed n-gram table for the ``order`` bytes that end at 0-based position ``at`` of an array of codes."""
     m = 2**31 - 1

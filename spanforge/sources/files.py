@@ -53,6 +53,14 @@ def added_lines(spark: SparkSession, patch: str) -> DataFrame:
     return spark.createDataFrame(rows, "file string, first bigint, last bigint")
 
 
+def on_added_lines(findings: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Findings (file, line, end_line, ...) that meet a range (file, first, last) of added lines. A patch's ranges are as
+    many as its hunks; files with many are joined like any other key."""
+    r = ranges.select(F.col("file").alias("_file"), "first", "last")
+    meets = (F.col("file") == F.col("_file")) & (F.col("line") <= F.col("last")) & (F.col("first") <= F.col("end_line"))
+    return findings.join(r, meets, "left_semi")
+
+
 def staged(spark: SparkSession, repository: str) -> DataFrame:
     """Documents that are staged in a git repository on the driver, by object id; links and empty blobs are skipped."""
     git = lambda *a: subprocess.run(["git", "-C", repository, *a], capture_output=True, check=True).stdout
