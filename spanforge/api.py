@@ -9,13 +9,14 @@ The profiles ``secrets-code`` and ``secrets-binary`` follow the order of rules t
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import bytestr as B
+from .functions import values as V
 from .functions.text import utf16_text
 from .functions.values import in_dependency_folder, is_source_text_name, path_severity
 from .model.network import Network
@@ -24,7 +25,7 @@ from .operators import code_rules as C
 from .operators import heads as H
 from .operators import intervals as I
 from .operators import redact as R
-from .operators.views import masked_snippet, masked_views
+from .operators.views import masked_views
 
 # The profiles, and the largest input of each in bytes.
 PROFILES = {"none": 1 << 30, "redact": 1 << 30, "secrets-code": 4_000_000, "secrets-binary": 64 << 20}
@@ -46,12 +47,14 @@ class Request:
 
 @dataclass
 class Detection:
-    """``findings``, ``documents`` and ``failures`` are DataFrames; ``heads``: head name to a DataFrame by document."""
+    """``findings``, ``documents`` and ``failures`` are DataFrames; ``heads``: head name to a DataFrame by document;
+    ``per_model``: what each member found before the vote."""
 
     findings: DataFrame
     documents: DataFrame
     failures: DataFrame
     heads: dict[str, DataFrame]
+    per_model: DataFrame
 
 
 class Detector:
@@ -87,7 +90,7 @@ class Detector:
         """Window results of each member, cut from their lineage: several outputs read them."""
         return [scan_documents(d, m, self.key, "s", request.window, request.stride, request.options).checkpoint() for m in self.models]
 
-    def _found(self, results: DataFrame, d: DataFrame, request: Request) -> DataFrame:
+    def _found(self, results: DataFrame, d: DataFrame, request: Request, model: bytes) -> DataFrame:
         """(key, ord, start, end, type, conf, base64, inner_start, inner_end) that one member reports."""
         key, raw = self.key, spans(results, self.networks[0].entities, self.key)
         raw = raw.withColumn("source", F.lit("model")).withColumn("ord", self._order(F.col("type")))
@@ -98,13 +101,27 @@ class Detector:
         near = I.merge_nearby(raw, request.gap, key)
         if self.profile == "secrets-binary":
             return self._strings(near, d, request).select(*plain)
-        return self._code(near, d, request).select(*plain)
+        return self._with_decoded(self._code(near, d, request, key).select(*plain), d, request, model)
+
+    def _with_decoded(self, found: DataFrame, d: DataFrame, request: Request, model: bytes) -> DataFrame:
+        """``found`` with what the model finds in the decoded text of readable base64 runs: such a finding stands for the
+        whole run, with its own offsets inside; what was found in the undecoded run goes. Runs that decode to a name and
+        a password stay as they are."""
+        key = self.key
+        blobs = C.readable_base64(d.select(key, "s"), key)
+        blobs = blobs.where(~C.is_basic_auth(F.col("decoded"))).select(F.concat_ws(":", key, "start").alias("_run"), F.col(key).alias("_key"), F.col("start").alias("_a"), F.col("end").alias("_z"), F.col("decoded").alias("s")).checkpoint()
+        results = scan_documents(blobs, model, "_run", "s", request.window, request.stride, request.options)
+        near = I.merge_nearby(spans(results, self.networks[0].entities, "_run"), request.gap, "_run")
+        inner = self._code(near, blobs, request, "_run").join(blobs.drop("s"), "_run")
+        inner = inner.select(F.col("_key").alias(key), F.col("_a").alias("start"), F.col("_z").alias("end"), "type", "conf", F.lit(True).alias("base64"), F.col("start").alias("inner_start"), F.col("end").alias("inner_end"))
+        within = (F.col(key) == F.col("_key")) & (F.col("_a") <= F.col("start")) & (F.col("end") <= F.col("_z"))
+        return found.join(blobs.select("_key", "_a", "_z"), within, "left_anti").unionByName(inner)
 
     def _order(self, kind: Column) -> Column:
         return F.array_position(F.array(*map(F.lit, self.networks[0].entities)).cast("array<string>"), kind)
 
-    def _code(self, near: DataFrame, d: DataFrame, request: Request) -> DataFrame:
-        key, docs = self.key, d.select(self.key, "s")
+    def _code(self, near: DataFrame, d: DataFrame, request: Request, key: str) -> DataFrame:
+        docs = d.select(key, "s")
         payloads = C.data_uri_payloads(docs, key)
         r = payloads.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
         kept = near.join(r, (F.col(key) == F.col("_k")) & (F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")), "left_anti")
@@ -115,6 +132,9 @@ class Detector:
         moved = (F.col("v.start") != a) | (F.col("v.end") != z)
         cut = cut.withColumn("r", F.when(moved, F.col("v")).otherwise(F.col("l")))
         cut = cut.withColumn("start", F.col("r.start")).withColumn("end", F.col("r.end")).drop("v", "l", "r")
+        lined = C.line_around(s, a, z)  # a finding that is most of a short line becomes the line without its blanks
+        most = (F.col("end") - F.col("start")) * 10 >= (lined["end"] - lined["start"]) * 9
+        cut = cut.withColumn("w", F.when(most, lined)).withColumn("start", F.coalesce("w.start", "start")).withColumn("end", F.coalesce("w.end", "end")).drop("w")
         cut = cut.where(~C.is_documentation_example(s, a, z) & ~C.is_allowed(s, a, request.marker)).drop("s")
         whole = C.extend_to_block(cut, C.private_key_blocks(docs, key), key)
         return whole.groupBy(key, "start", "end").agg(F.max_by("type", F.struct("conf", "type")).alias("type"), F.max("conf").alias("conf"))
@@ -155,7 +175,7 @@ class Detector:
         docs = docs if "path" in docs.columns else docs.withColumn("path", F.col("file"))
         d, failures = self._documents(docs)
         results = self._scanned(d, request)
-        members = [self._found(r, d, request).checkpoint() for r in results]
+        members = [self._found(r, d, request, m).checkpoint() for r, m in zip(results, self.models)]
         findings = self._voted(members, d, request).where(F.col("conf") >= request.min_confidence).drop("member").checkpoint()
         raw = [spans(r, self.networks[0].entities, key).select(key, "start", "end", F.lit(False).alias("base64")) for r in results]
         hidden = I.hidden(reduce(DataFrame.union, [*raw, *[m.select(key, "start", "end", "base64") for m in members]]), key)
@@ -163,23 +183,28 @@ class Detector:
         seen = masked_views(d, findings, hidden, key, "s", binary)
         s, a, z = F.col("s"), F.col("start"), F.col("end")
         out = seen.join(d, key).join(docs.select(key, "path"), key)
-        value = F.substr(s, (a + 1).cast("int"), (z - a).cast("int"))
+        run = F.substr(s, (a + 1).cast("int"), (z - a).cast("int"))
+        inner = F.substr(C.decoded_run(run), (F.col("inner_start") + 1).cast("int"), (F.col("inner_end") - F.col("inner_start")).cast("int"))
+        value = F.when(F.col("base64"), inner).otherwise(run)
+        last = B.line_of(s, a) + F.length(run) - F.length(F.replace(run, F.lit("\n"), F.lit("")))
         place = (
             [F.concat(F.lit("0x"), F.lower(F.hex("start"))).alias("offset_hex")]
             if binary
-            else [B.line_of(s, a).alias("line"), B.column_of(s, a).alias("col"), (B.line_of(s, a) + F.length(value) - F.length(F.replace(value, F.lit("\n"), F.lit("")))).alias("end_line")]
+            else [B.line_of(s, a).alias("line"), B.column_of(s, a).alias("col"), B.code_point_column(s, a).alias("column"), F.when(~F.col("base64"), last).alias("end_line")]
         )
+        place += [F.col("base64").alias("inside_base64"), "inner_start", "inner_end"]
         clear = [B.to_text(value).alias("snippet")] if request.reveal else []
         out = out.select(
             key, "file", F.col("type").alias("kind"), self.severity(F.col("path")).alias("severity"), "start", "end", *place, F.col("conf").alias("confidence"), "votes",
-            masked_snippet(s, a, z).alias("snippet_masked"), F.col("view").alias("string_masked" if binary else "context_masked"), *clear,
+            V.mask(B.to_text(value)).alias("snippet_masked"), F.col("view").alias("string_masked" if binary else "context_masked"), *clear,
         )
         totals = window_totals(results[0], key)
         per = d.select(key, "file", F.length("s").cast("bigint").alias("bytes")).join(totals, key, "left")
         count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias({"skipped": "windows_skipped", "exited": "windows_exited", "positive": "positive_windows"}.get(c, c))
         note = F.when((F.col("bytes") > 0) & F.col("windows").isNull(), TOO_SHORT)
         documents = per.select(key, "file", "bytes", *map(count, ("windows", "skipped", "exited", "positive")), note.alias("note"))
-        return Detection(out, documents, failures, self._heads(results[0]))
+        per_model = reduce(DataFrame.unionByName, [m.withColumn("member", F.lit(i)) for i, m in enumerate(members)])
+        return Detection(out, documents, failures, self._heads(results[0]), per_model)
 
     def _heads(self, results: DataFrame) -> dict[str, DataFrame]:
         """Each window-level head's answer by document, as the head's own rule sums its windows up."""
@@ -204,12 +229,29 @@ class Detector:
             hit = found.heads[name].where("label != 0").select(self.key)
         return docs.select(self.key).join(hit.withColumn("positive", F.lit(True)), self.key, "left").na.fill(False)
 
-    def redact(self, docs: DataFrame, request: Request = Request(), types: list[str] | None = None) -> DataFrame:
-        """(key, s, out, entries): redacted copies by what the detector finds in each whole document."""
-        d, _ = self._documents(docs)
-        members = [self._found(r, d, request) for r in self._scanned(d, request)]
+    def redact(self, docs: DataFrame, request: Request = Request(), types: list[str] | str | None = None) -> DataFrame:
+        """(key, s, out, entries, content, encoding, refused): redacted copies by what the detector finds in each whole
+        document, however short. ``types``: those that are redacted, as a list or with commas.
+
+        A document in UTF-16 is searched as text; ``content`` is its copy in its own encoding, which ``encoding`` names,
+        with whole characters replaced. One over the profile's limit has no copy, and ``refused`` says so."""
+        key = self.key
+        d, failures = self._documents(docs.withColumn("file", F.col(key).cast("string")))
+        raw = F.decode(F.coalesce("content", F.lit(b"")), "ISO-8859-1")
+        encoding = F.when(utf16_text(raw).isNotNull(), F.when(raw.startswith("\xff\xfe"), "UTF-16LE").otherwise("UTF-16BE"))
+        wide = docs.select(key, encoding.alias("encoding"), F.when(encoding.isNotNull(), B.byte_string(utf16_text(raw))).alias("wide"))
+        d = d.select(key, "s").join(wide, key).select(key, F.coalesce("wide", "s").alias("s"), "encoding")
+        request = replace(request, options=replace(request.options, least=1))
+        members = [self._found(r, d, request, m) for r, m in zip(self._scanned(d, request), self.models)]
         found = self._voted(members, d, request).where(F.col("conf") >= request.min_confidence)
         if types:
-            found = found.where(F.col("type").isin(types))
+            found = found.where(F.col("type").isin(types.split(",") if isinstance(types, str) else types))
         found = found.withColumn("source", F.lit("model")).withColumn("ord", self._order(F.col("type")))
-        return R.redact(d, found.select(self.key, "ord", "start", "end", "type", "conf", "source"), self.key)
+        found = R.whole_characters(found.select(key, "ord", "start", "end", "type", "conf", "source"), d.where("encoding IS NOT NULL"), key)
+        out = R.redact(d, found, key).join(d.select(key, "encoding"), key)
+        little, big = (F.concat(F.lit(mark), F.encode(B.to_text(F.col("out")), name)) for mark, name in ((b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")))
+        content = F.when(F.col("encoding") == "UTF-16LE", little).when(F.col("encoding") == "UTF-16BE", big).otherwise(B.to_bytes(F.col("out")))
+        out = out.select(key, "s", "out", "entries", content.alias("content"), "encoding", F.lit(None).cast("string").alias("refused"))
+        kind = docs.schema[key].dataType
+        refused = failures.select(F.col("file").cast(kind).alias(key), *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in ("s", "out", "entries", "content", "encoding")], F.col("reason").alias("refused"))
+        return out.union(refused)

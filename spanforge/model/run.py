@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.windows import slice_of, windows
+from ..operators.prefilter import mark_prefiltered
+from ..operators.windows import slice_of, whole_windows, windows
 from .network import SKIPPED, Network, WindowBatch
 
 SPAN = T.StructType([T.StructField(n, t, False) for n, t in (("start", T.LongType()), ("end", T.LongType()), ("type", T.IntegerType()), ("confidence", T.FloatType()))])
@@ -50,6 +51,10 @@ class Options:
     queries: tuple[str, ...] = ()
     digest: bool = False
     batch: int = 64
+    #: Rule of the windows that are evaluated (none: all), and one window a document instead of sliding ones.
+    prefilter: str | None = None
+    whole: bool = False
+    least: int | None = None
 
 
 _LOADED: dict[str, Network] = {}
@@ -131,11 +136,16 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def scan_documents(docs: DataFrame, model: bytes, key: str = "doc_id", s: str = "s", window: int | None = None, stride: int | None = None, options: Options = Options()) -> DataFrame:
-    """``run_windows`` over byte strings, cut as the model declares or as the caller wants it."""
+    """``run_windows`` over byte strings, cut as the model declares or as the caller wants it. With a prefilter, windows
+    that no part of its rule touches are skipped; with ``whole`` a document that is not empty is one window."""
     m = Network(bytes(model))
     span = (window or m.window) - (m.query.region if m.query else 0)
     stride = stride or (m.stride if window is None else span - span // 4)
-    wins = windows(docs.select(key, s), F.length(s), span, stride, min(m.least, span))
+    least = m.least if options.least is None else options.least
+    d = docs.select(key, s)
+    wins = whole_windows(d, F.length(s)) if options.whole else windows(d, F.length(s), span, stride, min(least, span))
+    if options.prefilter:
+        wins = mark_prefiltered(wins, options.prefilter, s)
     wins = wins.withColumn("content", F.encode(slice_of(F.col(s), F.col("start"), F.col("length")), "ISO-8859-1"))
     return run_windows(wins, model, key, options)
 

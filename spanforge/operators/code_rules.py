@@ -59,6 +59,11 @@ def readable_base64(docs: DataFrame, key: str = "doc_id", s: str = "s", most: in
     return m.select(key, "start", "end", "decoded")
 
 
+def decoded_run(value: Column) -> Column:
+    """The bytes of a base64 run without its padding, as a byte string."""
+    return F.decode(F.unbase64(F.concat(value, F.repeat(F.lit("="), F.pmod(-F.length(value), F.lit(4))))), "ISO-8859-1")
+
+
 def is_basic_auth(decoded: Column) -> Column:
     return decoded.rlike(BASIC_AUTH)
 

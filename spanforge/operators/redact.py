@@ -74,6 +74,16 @@ def redact(docs: DataFrame, spans: DataFrame, key: str = "doc_id", s: str = "s")
     return d.select(key, "s", F.when(back == F.col("s"), F.col("out")).otherwise(F.raise_error(F.lit("the copy differs outside the markers"))).alias("out"), "entries")
 
 
+def whole_characters(spans: DataFrame, docs: DataFrame, key: str = "doc_id", s: str = "s") -> DataFrame:
+    """``spans`` of ``docs`` (UTF-8 byte strings) widened to whole characters; spans of other documents stay."""
+    d = spans.join(docs.select(key, F.col(s).alias("_s")), key, "left")
+    before = F.reverse(F.substr("_s", F.greatest(F.col("start") - 2, F.lit(1)).cast("int"), F.least(F.col("start") + 1, F.lit(4)).cast("int")))
+    back = F.length(F.regexp_extract(before, "^[\x80-\xbf]{0,3}", 0))
+    more = F.length(F.regexp_extract(F.substr("_s", (F.col("end") + 1).cast("int"), F.lit(3)), "^[\x80-\xbf]*", 0))
+    new = {"start": (F.col("start") - F.coalesce(back, F.lit(0))).cast("bigint"), "end": (F.col("end") + F.coalesce(more, F.lit(0))).cast("bigint")}
+    return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in spans.columns])
+
+
 def report(redacted: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sha256_in, sha256_out, spans, counts): values never appear."""
     kinds = F.transform("entries", lambda x: x["type"])

@@ -11,7 +11,8 @@ from spanforge.operators.views import masked, view
 
 from test_network import flag_model, model
 
-SECRET = "Tk9UQVNFQ1JFVFRPS0VOMTIzNDU2Nzg5"
+SECRET = "ZXQJKVBPWMTRLGNDSHCYFAOEIU"
+RUN = "Tk9UQVNFQ1JFVFRPS0VOMTIzNDU2Nzg5"  # NOTASECRETTOKEN123456789
 CAPITALS = flag_model(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -48,6 +49,60 @@ def test_redact_and_severity(spark):
     assert {r.context_masked for r in got if r.doc_id == 1} == {f'key = "{SECRET[:4]}{"*" * 12}{SECRET[-2:]}"'}
 
 
+def test_decoded_runs(spark):
+    """A finding in the decoded text of a base64 run stands for the run; a name and a password stay undecoded."""
+    import base64
+
+    login = base64.b64encode(b"somebody:PASSWORDPASSWORDPASSWORD").decode()
+    text = f'k = "{RUN}"\nauth: {login}\n'
+    got = Detector([CAPITALS], profile="secrets-code").detect(docs(spark, [(1, "a.py", text.encode())]), Request(reveal=True))
+    found = {(r.start, r.end, r.inside_base64, r.inner_start, r.inner_end, r.end_line, r.snippet) for r in got.findings.collect()}
+    assert (5, 5 + len(RUN), True, 0, 15, None, "NOTASECRETTOKEN") in found
+    assert all(r[2] for r in found if r[0] < 40) and not any(r[2] for r in found if r[0] > 40) and len(found) > 1
+    assert {r.context_masked for r in got.findings.where("inside_base64").collect()} == {'(inside a base64) k = "[base64 blob, 32 B]"'}
+    assert got.per_model.count() == len(found)
+
+
+def test_prefilter_and_whole_windows(spark):
+    from spanforge.model.run import Options
+
+    rows = [(1, "a", b"A" * 40), (2, "b", bytes(200) + b"AB" + bytes(200)), (3, "c", b"")]
+    d = Detector([CAPITALS]).detect(docs(spark, rows), Request(options=Options(prefilter="A16")))
+    assert {r.doc_id: (r.windows > 0, r.windows == r.windows_skipped) for r in d.documents.collect()} == {1: (True, False), 2: (True, True), 3: (False, True)}
+    assert d.findings.where("doc_id = 2").count() == 0 and d.findings.where("doc_id = 1").count() == 40
+    whole = Detector([CAPITALS]).detect(docs(spark, rows[:2]), Request(options=Options(whole=True)))
+    assert {(r.doc_id, r.windows) for r in whole.documents.collect()} == {(1, 1), (2, 1)} and whole.findings.count() == 42
+
+
+def test_redaction_of_wide_and_of_large_documents(spark, monkeypatch):
+    from spanforge import api
+
+    monkeypatch.setitem(api.PROFILES, "none", 60)
+    text = "é Abc ñ D中"
+    rows = [(1, "", "﻿".encode("utf-16-le") + text.encode("utf-16-le")), (2, "", b"\xfe\xff" + text.encode("utf-16-be")), (3, "", b"X" * 61), (4, "", b"Q"), (5, "", b"\xff\xfeA")]
+    got = {r.doc_id: r for r in Detector([CAPITALS]).redact(docs(spark, rows), types="FLAG,OTHER").collect()}
+    want = "é [FLAG_1]bc ñ [FLAG_2]中"
+    assert bytes(got[1].content).decode("utf-16") == bytes(got[2].content).decode("utf-16") == want
+    assert (got[1].encoding, got[2].encoding, got[4].encoding, got[5].encoding) == ("UTF-16LE", "UTF-16BE", None, None)
+    assert got[3].refused and got[3].out is None and got[4].out == "[FLAG_1]" and bytes(got[5].content) == b"\xff\xfe[FLAG_1]"
+    assert Detector([CAPITALS]).redact(docs(spark, rows[3:4]), types=["OTHER"]).first().out == "Q"
+
+
+def test_whole_characters(spark):
+    from spanforge.functions.bytestr import byte_string
+    from spanforge.operators.redact import whole_characters
+
+    text = "a中é😀b"
+    raw = text.encode()
+    starts = [i for i in range(len(raw)) if raw[i] & 0xC0 != 0x80] + [len(raw)]
+    spans = [(1, a, z) for a in range(len(raw)) for z in range(a + 1, len(raw) + 1)]
+    d = spark.createDataFrame([(1, text)], "doc_id int, t string").select("doc_id", byte_string(F.col("t")).alias("s"))
+    got = whole_characters(spark.createDataFrame([(i, a, z, a, z) for i, a, z in spans] + [(2, 1, 2, 1, 2)], "doc_id int, start bigint, end bigint, a bigint, z bigint"), d)
+    for r in got.where("doc_id = 1").collect():
+        assert (r.start, r.end) == (max(x for x in starts if x <= r.a), min(x for x in starts if x >= r.z))
+    assert got.where("doc_id = 2").select("start", "end").first() == (1, 2)
+
+
 def test_binaries(spark):
     body = b"\x00\x01" + b"secret STRING of a binary" + b"\x00" + b"secret STRING of a binary" + b"\x00X" + bytes(9) + b"\n" + b"SHA-256-Digest: ABCDEFGHIJKLMNOP\n"
     got = Detector([CAPITALS], profile="secrets-binary").detect(docs(spark, [(1, "x.bin", body)])).findings.collect()
