@@ -1,13 +1,14 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, shingle containment verifies them.
 
 DataFrame functions only. Words are runs of a-z and 0-9 after lower-casing. A window starts at every word whose shingle
-occurs in some template (a window without such a shingle has nothing in common with a template), once for each length
-class of the templates, so windows overlap. Its MinHash signature is cut into ``BANDS`` bands of ``ROWS`` rows: a window
+occurs in some template (a window without such a shingle has nothing in common with a template), once for each length of
+a template that has it, so windows overlap. Its MinHash signature is cut into ``BANDS`` bands of ``ROWS`` rows: a window
 with similarity s to a template shares a band with probability 1 - (1 - s**ROWS)**BANDS, over 0.999999 at s = 0.8.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,24 +18,18 @@ from ._common import constant_array, text_or_empty
 
 BANDS, ROWS, SHINGLE = 20, 2, 5
 BITS = 1 << 18
+#: Shingles of a part of a document.
+PART = 4096
 
-#: Short public notices that name a license, and opening passages of license texts.
-TEMPLATES = {
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0 header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "MIT notice": "Released under the MIT License",
-    "MIT grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3",
-    "GPL header": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "LGPL header": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0 notice": "Licensed under CC BY 4.0",
-    "CC-BY-4.0 text": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "BSD grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "ISC grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
-}
+#: Public license texts, headers and one-line notices: a name after ``==`` and its text up to the next.
+TEXTS = "license_texts.txt"
+
+
+def templates() -> dict[str, str]:
+    """The texts that come with the package, read through its loader, so also from an archive."""
+    text = pkgutil.get_data(__package__, TEXTS).decode()
+    parts = re.split(r"^== (.+)\n", text, flags=re.MULTILINE)[1:]
+    return dict(zip(parts[::2], parts[1::2]))
 
 
 def _words(text: str) -> list[str]:
@@ -53,9 +48,9 @@ def _bands(shingles: Column) -> Column:
     )
 
 
-def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+def template_table(spark: SparkSession, licenses: dict[str, str]) -> DataFrame:
     """license, n (words), set (shingles). Templates shorter than a shingle are refused."""
-    rows = [(name, _words(text)) for name, text in templates.items()]
+    rows = [(name, _words(text)) for name, text in licenses.items()]
     if short := [name for name, w in rows if len(w) < SHINGLE]:
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
     t = spark.createDataFrame(rows, "license string, w array<string>")
@@ -64,25 +59,23 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 
 
 def scan_licenses(
-    docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", percent: int = 80
+    docs: DataFrame, licenses: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", percent: int = 80
 ) -> DataFrame:
     """One row per row of ``docs`` and license found: id, license, containment (share of the template's shingles, the
     most of any window), word (position of the first such window), windows (number of windows that reach ``percent``).
 
-    Texts are read whole. Null and empty texts give no rows, nor does a text without a match; rows with the same id and
-    text are one document. Other columns are ignored. The templates are the caller's and bounded: tables of them are
-    broadcast.
+    Texts are read whole. Null and empty texts give no rows, nor does a text without a match; rows with one id are one
+    document. Other columns are ignored; an empty table gives an empty result. ``licenses`` (name: text, by default
+    ``templates()``) come from the caller's program, not from the corpus: tables of them are broadcast.
     """
     spark = docs.sparkSession
-    table = template_table(spark, templates or TEMPLATES)
+    table = template_table(spark, licenses or templates())
     known = [(r.license, r.n, r.set) for r in table.collect()]
     lengths, all_shingles = sorted({n for _, n, _ in known}), sorted({s for _, _, x in known for s in x})
     bits = [0] * (BITS // 64)
     for s in all_shingles:
         bits[(s % BITS) >> 6] |= 1 << (s % 64)
     mask = constant_array([x - (1 << 64) if x >> 63 else x for x in bits], "bigint")
-    exact = constant_array(all_shingles, "bigint")
-
     split = F.array_remove(F.split(F.lower(text_or_empty(F.col(text_col))), "[^a-z0-9]+"), "")
     d = docs.select(F.col(id_col).alias("id"), split.alias("w"))
     d = d.select("id", F.when(F.size("w") >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), lambda i: _shingle_at(F.col("w"), i))).alias("s"))
@@ -93,10 +86,22 @@ def scan_licenses(
 
     placed = F.transform("s", lambda v, i: F.struct(v.alias("v"), i.alias("i")))
     d = d.select("id", "s", F.filter(placed, lambda x: maybe(x["v"])).alias("hits"))
-    hits = F.transform(F.filter("hits", lambda x: F.array_contains(exact, x["v"])), lambda x: x["i"])
-    d = d.select("id", "s", F.explode_outer(hits).alias("word")).where("word IS NOT NULL")
-    windows = d.select("id", "word", "s", F.explode(constant_array(lengths, "int")).alias("n"))
-    windows = windows.select("id", "word", "n", F.array_distinct(F.slice("s", F.col("word") + 1, F.col("n") - SHINGLE + 1)).alias("set"))
+    # parts of the document where templates may be, then the windows of each length that start at a shingle of a template
+    # of that length: no row carries more than a part
+    some = lambda b: F.filter("hits", lambda x: (x["i"] >= b) & (x["i"] < b + PART))
+    part = lambda b: F.struct(b.alias("base"), F.slice("s", b + 1, F.lit(PART + lengths[-1])).alias("s"), some(b).alias("hits"))
+    parts = F.when(F.size("hits") > 0, F.transform(F.sequence(F.lit(0), F.size("s") - 1, F.lit(PART)), part))
+    d = d.select("id", F.explode_outer(parts).alias("p")).where("p IS NOT NULL").select("id", "p.base", "p.s", "p.hits")
+
+    def places(n: int) -> Column:
+        own = constant_array(sorted({s for _, m, x in known if m == n for s in x}), "bigint")
+        here = F.filter("hits", lambda x: F.array_contains(own, x["v"]))
+        return F.transform(
+            here, lambda x: F.struct(x["i"].alias("word"), F.lit(n).alias("n"), F.slice("s", x["i"] - F.col("base") + 1, F.lit(n - SHINGLE + 1)).alias("set"))
+        )
+
+    d = d.select("id", F.explode_outer(F.concat(*map(places, lengths))).alias("w")).where("w IS NOT NULL")
+    windows = d.select("id", "w.word", "w.n", F.array_distinct("w.set").alias("set"))
     probes = windows.select("id", "word", "n", "set", F.explode(_bands(F.col("set"))).alias("band"))
     stored = table.select("license", F.col("n").alias("tn"), F.col("set").alias("tset"), F.explode(_bands(F.col("set"))).alias("band"))
     found = probes.join(F.broadcast(stored), (probes.band == stored.band) & (probes.n == stored.tn)).drop("band")
