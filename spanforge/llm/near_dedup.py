@@ -27,7 +27,7 @@ from ._common import ascii_lower, forget, text_or_empty, words_of, written
 #: Standard deviations by which a sample's count may fall short of its expectation.
 MARGIN = 6
 #: Members of a list whose pairs are rows of their own, and of a block whose pairs are compared inside a row.
-SMALL, BLOCK = 32, 64
+SMALL, BLOCK = 32, 32
 #: Ids that are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -158,7 +158,9 @@ def _in_blocks(members: DataFrame, reps: DataFrame, texts: DataFrame, shingle: i
     y = d.select("family", F.col("out").alias("outy"), F.col("size").alias("sizey"), F.col("block").alias("by"), F.col("rows").alias("y"))
     y = y.join(plan, ["family", "outy", "sizey"]).withColumn("bx", count("blocksx"))
     once = ~F.col("outy") | (F.col("sizex") < F.col("sizey")) | (F.col("bx") <= F.col("by"))
-    both = x.where(once).select(*at, "x").join(y.where(once).select(*at, "y"), at)
+    # a number of parts of our own: rows are few and take long, so merging partitions by their bytes would undo the deal
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = x.where(once).select(*at, "x").repartition(tasks, *at).join(y.where(once).select(*at, "y").repartition(tasks, *at), at)
 
     def similar(p: Column, q: Column) -> Column:
         alike = (p["c"] != q["c"]) & _alike_sizes(p["n"], q["n"], percent)
