@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from spanforge.plans import catalog
+from spanforge.plans import catalog, models, registry, rules, scores  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,19 +26,19 @@ def rows(columns, data):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_matches_duckdb(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
-    found = duck.execute(catalog.SQL[name])
+    df = registry.QUERIES[name](spark, SF)
+    found = duck.execute(registry.SQL[name])
     columns = [d[0] for d in found.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, found.fetchall())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+    assert registry.QUERIES[name](spark, SF).count() > 0
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -54,4 +54,4 @@ def test_query_template_covers_all_bytes(spark):
                 start = len(s) - 488 if w and len(s) - w * 384 < 24 else w * 384
                 want.add((d.doc_id, w, hashlib.sha256(b"?name\n?value\n".ljust(24, b"\n") + s[start : start + 488]).hexdigest()))
     assert any(not d.text.isascii() for d in docs)
-    assert {(r.doc_id, r.win, r.sha256) for r in catalog.QUERIES["query_template_windows"](spark, SF).collect()} == want
+    assert {(r.doc_id, r.win, r.sha256) for r in registry.QUERIES["query_template_windows"](spark, SF).collect()} == want
