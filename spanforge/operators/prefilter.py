@@ -72,13 +72,14 @@ def mark_prefiltered(wins: DataFrame, rule: str = DEFAULT, s: str = "s") -> Data
     near = lambda n: F.substr(s, (F.greatest(F.col("start") - n, F.lit(0)) + 1).cast("int"), (F.col("start") + F.col("length") + n - F.greatest(F.col("start") - n, F.lit(0))).cast("int"))
     tests: list[Column] = [near(reach).rlike(x) for p in parts if p.kind != "D" for reach, x in p.expressions()]
     d, dense = wins, [p for p in parts if p.kind == "D"]
-    if dense:
-        for i, p in enumerate(dense):
-            shown = F.transform(F.filter(F.split(near(p.reach()), ""), lambda c: c != ""), lambda c: c.rlike(f"^[{PRINTABLE}]$").cast("bigint"))
-            d = d.withColumn(f"_dense{i}", shown)
-        d = running_sums(d, [f"_dense{i}" for i in range(len(dense))])
-        for i, p in enumerate(dense):
-            c = F.col(f"_dense{i}")
-            enough = F.exists(F.sequence(F.lit(p.x - 1), F.size(c) - 1), lambda z: F.get(c, z) - F.when(z >= p.x, F.get(c, z - p.x)).otherwise(0) >= p.y)
-            tests.append(F.when(F.size(c) >= p.x, enough).otherwise(False))
+    if dense:  # bytes that are not printable, and how far apart they are, say it: text has few of them
+        names = [f"_dense{i}" for i in range(len(dense))]
+        for name, p in zip(names, dense):
+            d = d.withColumn(name, F.transform(F.split(near(p.reach()), f"[^{PRINTABLE}]"), lambda run: (F.length(run) + 1).cast("bigint")))
+        d = running_sums(d, names)
+        for name, p in zip(names, dense):
+            c, others = F.col(name), p.x - p.y + 1
+            end = lambda i: F.get(c, F.least(i + others, F.size(c)) - 1) - 1  # noqa: B023, E731
+            first = lambda i: F.when(i > 0, F.get(c, i - 1)).otherwise(0)  # noqa: B023, E731
+            tests.append(F.exists(F.sequence(F.lit(0), F.greatest(F.size(c) - others, F.lit(0))), lambda i: end(i) - first(i) >= p.x))  # noqa: B023
     return d.withColumn("skipped", ~F.coalesce(reduce(or_, tests), F.lit(False))).select(*own, "skipped")

@@ -122,8 +122,8 @@ def model_skipped_windows(spark, sf_dir):
 
 @query(f'WITH {_FLAGS} SELECT doc_id, start, "end", type FROM f')
 def model_stream_spans(spark, sf_dir):
-    """The same bytes as chunks of 700 with carried state."""
-    parts = chunks(texts(spark, sf_dir).select("doc_id", B.to_bytes(F.col("s")).alias("content")), 700)
+    """The same bytes as chunks of 4096 with carried state."""
+    parts = chunks(texts(spark, sf_dir).select("doc_id", B.to_bytes(F.col("s")).alias("content")), 4096)
     return spans(run_streams(parts, flag_model(stream=True)), ["C0", "C1"]).select("doc_id", "start", "end", "type")
 
 
@@ -139,7 +139,7 @@ def _documents(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
 
 
-_LINED = f"""{_FLAGS}, l AS (SELECT f.*, unhex(substr(hex(encode(d.text)), 1, (2 * f.start)::BIGINT)) AS pre FROM f JOIN documents d USING (doc_id))"""
+_LINED = f"""{matches_sql("b", "[0-9]")}, l AS (SELECT b.*, 'C0' AS type, unhex(substr(hex(encode(d.text)), 1, (2 * b.start)::BIGINT)) AS pre FROM b JOIN documents d USING (doc_id) WHERE b.value IS NOT NULL)"""
 
 
 @query(
@@ -149,7 +149,7 @@ _LINED = f"""{_FLAGS}, l AS (SELECT f.*, unhex(substr(hex(encode(d.text)), 1, (2
 def detector_findings(spark, sf_dir):
     """Findings of a detector without rules, with their places in bytes and in characters."""
     spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(_shared(spark))
-    found = Detector([flag_model()], "none").detect(_documents(spark, sf_dir))
+    found = Detector([flag_model((DIGITS, b""))], "none").detect(_documents(spark, sf_dir))
     return found.findings.select("doc_id", "start", "end", "kind", "severity", "line", "col", "column", "snippet_masked")
 
 

@@ -120,11 +120,11 @@ def masking_everything(spark, sf_dir):
 
 
 @query(
-    f"""WITH {matches_sql("m", "[^a-z ]+")}, c AS (SELECT m.doc_id, m.ord, m.start, m."end", unhex(substr(hex(encode(d.text)), 1, (2 * m.start)::BIGINT)) AS a, unhex(substr(hex(encode(d.text)), 1, (2 * m."end")::BIGINT)) AS z FROM m JOIN documents d USING (doc_id) WHERE m.value IS NOT NULL)
+    f"""WITH {matches_sql("m", "[A-Z]{2,}|[0-9]+")}, c AS (SELECT m.doc_id, m.ord, m.start, m."end", unhex(substr(hex(encode(d.text)), 1, (2 * m.start)::BIGINT)) AS a, unhex(substr(hex(encode(d.text)), 1, (2 * m."end")::BIGINT)) AS z FROM m JOIN documents d USING (doc_id) WHERE m.value IS NOT NULL)
 SELECT doc_id, ord, length(decode(a)) AS start, length(decode(z)) AS "end" FROM c"""
 )
 def spans_in_characters(spark, sf_dir):
-    d = B.located(texts(spark, sf_dir), [r"(?:[^a-z \x80-\xff]|[\xc2-\xf4][\x80-\xbf]+)+"])
+    d = B.located(texts(spark, sf_dir), ["[A-Z]{2,}|[0-9]+"])
     f = d.select("doc_id", "s", F.explode_outer("x0").alias("x")).where("x IS NOT NULL")
     return f.select("doc_id", F.col("x.ord").alias("ord"), E.characters_of(F.col("s"), F.col("x.start"), F.col("x.end")).alias("c")).select("doc_id", "ord", "c.*")
 
