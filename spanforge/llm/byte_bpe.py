@@ -3,13 +3,13 @@
 Distinct pieces of a chunk of texts are bucketed by length and laid out as padded matrices of token ids, one row a
 piece. In each round every row merges its leftmost pair of the least rank; pair ranks come from an open-addressing hash
 table over pairs of ids, only the two pairs beside the merge are looked up again, and rows without a pair that merges
-leave the matrix. A piece longer than ``LONGEST`` would make rounds quadratic; a heap performs the same merges on it.
+leave the matrix. A piece longer than ``LONGEST`` is a matrix by itself, row after row of ``LONGEST`` positions: with the
+least rank of each row kept, a round looks at the rows' leasts and at one row, so rounds do not become quadratic.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from itertools import chain
 
@@ -125,24 +125,28 @@ class ByteBpe:
         return out
 
     def merge_long(self, piece: bytes) -> list[int]:
-        """The same merges by a heap of (rank, position) over a linked list."""
-        n = len(piece)
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
+        """Ids of one long piece. Cells stay where they are; links skip those that have merged into their left one."""
+        n, rows = len(piece), -(-len(piece) // LONGEST)
+        codes = self.single[np.frombuffer(piece, np.uint8)]
+        flat = np.full(rows * LONGEST, NONE, np.int32)
+        flat[: n - 1] = self.pairs.rank(codes[:-1], codes[1:])
+        rank, ids = flat.reshape(rows, LONGEST), codes.tolist()
+        least = rank.min(1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        ranks, bytes_of = self.ranks, self.bytes_of
-        pair = lambda i: ranks.get(bytes_of[ids[i]] + bytes_of[ids[after[i]]]) if after[i] < n else None
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            if ids[i] != a or (j := after[i]) >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (r := pair(k)) is not None:
-                    heapq.heappush(heap, (r, k, ids[k], ids[after[k]]))
+        joined, bytes_of = self.ranks.get, self.bytes_of
+        while (best := int(least[row := int(least.argmin())])) != NONE:
+            i = row * LONGEST + int(rank[row].argmin())
+            j, left = after[i], before[i]
+            ids[i], ids[j] = best, -1
+            after[i] = right = after[j]
+            flat[j] = flat[i] = NONE
+            if right < n:
+                before[right] = i
+                flat[i] = joined(bytes_of[best] + bytes_of[ids[right]], NONE)
+            if left >= 0:
+                flat[left] = joined(bytes_of[ids[left]] + bytes_of[best], NONE)
+            for r in {row, j // LONGEST, max(left, 0) // LONGEST}:
+                least[r] = rank[r].min()
         return [x for x in ids if x >= 0]
 
     def learn(self, pieces) -> None:
