@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +51,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that ``written`` makes inside the block are removed at its end, but for those that the block keeps: it gets
+    the function that writes one of these. For steps whose result is written before the block ends; the result of an
+    operator alone is lazy, so its tables stay until their reader is done, in the shared folder of the session."""
+    made: list[DataFrame] = []
+    _SCRATCH.append(made)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        made[:] = [x for x in made if x is not out]
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+        for df in made:
+            forget(df)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it again. Survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/spanforge-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._spanforge_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
