@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm._common import written
+from spanforge.llm._common import forget, scratch
 from spanforge.llm.byte_bpe import encode_decode
 from spanforge.llm.exact_dedup import drop_exact_duplicates
 from spanforge.llm.mixing import apply_mix
@@ -62,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written once; what it made for itself goes then, and its predecessor's result too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as keep:
+            done = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
