@@ -72,7 +72,7 @@ def inputs(spark: SparkSession, a, d: Detector) -> tuple[DataFrame, DataFrame]:
     archives are expanded."""
     limit = PROFILES[d.profile]
     if getattr(a, "staged", False):
-        files, failures = staged(spark, a.paths[0] if a.paths else "."), spark.createDataFrame([], "file string, reason string")
+        files, failures = staged(spark, a.paths[0] if a.paths else ".", limit)
         files = files.withColumn("rule", F.col("path"))
     elif a.paths == ["-"]:
         files, failures = W.standard_input(spark, limit)

@@ -9,8 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The words of a key's PEM header.
-PEM_WORDS = "BLOCK|DSA|EC|ECDSA|ED25519|ED448|ENCRYPTED|KEY|OPENSSH|PGP|PRIVATE|PUBLIC|RSA|SSH2|X25519|X448"
-PEM_HEADER = rf"^-----BEGIN (?:(?:{PEM_WORDS}) )*KEY(?: BLOCK)?-----$"
+PEM_WORDS = (
+    "BLOCK", "DSA", "EC", "ECDSA", "ED25519", "ED448", "ENCRYPTED", "KEY", "OPENSSH", "PGP", "PRIVATE", "PUBLIC",
+    "RSA", "SSH2", "X25519", "X448",
+)
+PEM_HEADER = rf"^-----BEGIN (?:(?:{'|'.join(PEM_WORDS)}) )*KEY(?: BLOCK)?-----$"
 
 
 def mask(text: Column) -> Column:
@@ -43,7 +46,11 @@ def cut(text: Column, limit: int = 160) -> Column:
 
 
 # E.164 country codes of two digits.
-TWO_DIGIT_CODES = "^(2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+TWO_DIGIT_CODES = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51",
+    "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90",
+    "91", "92", "93", "94", "95", "98",
+)
 
 
 def normalize_value(kind: Column, value: Column) -> Column:
@@ -56,7 +63,7 @@ def normalize_value(kind: Column, value: Column) -> Column:
         F.when(F.length(rest) == 0, 0)
         .when(F.left(rest, F.lit(1)).isin("1", "7"), 1)
         .when(F.length(rest) < 2, 0)
-        .when(rest.rlike(TWO_DIGIT_CODES), 2)
+        .when(F.left(rest, F.lit(2)).isin(*TWO_DIGIT_CODES), 2)
         .when(F.length(rest) >= 3, 3)
         .otherwise(0)
     )
@@ -88,11 +95,12 @@ def fold_name(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(low, MARKED, PLAIN), r"[\s ]+", " "))
 
 
-# Folders, extensions, names and prefixes that the profiles know.
+# Folders of tests, examples and documents.
 SEVERITY_PARTS = (
-    "__mocks__ __tests__ androidtest cypress doc docs e2e example examples fixture fixtures jvmtest mock mocks "
-    "sample samples spec specs test test-data testdata tests "
-).split()
+    "__mocks__", "__tests__", "androidtest", "cypress", "doc", "docs", "e2e", "example", "examples", "fixture",
+    "fixtures", "jvmtest", "mock", "mocks", "sample", "samples", "spec", "specs", "test", "test-data", "testdata",
+    "tests",
+)
 
 
 def path_severity(path: Column) -> Column:
@@ -112,18 +120,22 @@ def path_severity(path: Column) -> Column:
     return F.when(soft, "warning").otherwise("error")
 
 
+# Extensions and names of source text, folders of dependencies and of version control.
 SOURCE_EXTENSIONS = (
-    "adoc bash c cc cfg cjs cnf conf cpp cs csv dart dockerfile env erb ex exs go gradle groovy h hh hpp htm html "
-    "htpasswd ini ipynb j2 java js json jsx key kt kts lua m md mjs pem php pl plist properties ps1 psm1 py r rb rs "
-    "rst scala sh sql swift tf tfstate tfvars toml tpl ts tsx txt vue xml yaml yml zsh "
-).split()
+    "adoc", "bash", "c", "cc", "cfg", "cjs", "cnf", "conf", "cpp", "cs", "csv", "dart", "dockerfile", "env", "erb",
+    "ex", "exs", "go", "gradle", "groovy", "h", "hh", "hpp", "htm", "html", "htpasswd", "ini", "ipynb", "j2", "java",
+    "js", "json", "jsx", "key", "kt", "kts", "lua", "m", "md", "mjs", "pem", "php", "pl", "plist", "properties",
+    "ps1", "psm1", "py", "r", "rb", "rs", "rst", "scala", "sh", "sql", "swift", "tf", "tfstate", "tfvars", "toml",
+    "tpl", "ts", "tsx", "txt", "vue", "xml", "yaml", "yml", "zsh",
+)
 SOURCE_NAMES = (
-    ".dockercfg .env .envrc .git-credentials .netrc .npmrc .pgpass .pypirc brewfile caddyfile config credentials "
-    "dockerfile gemfile jenkinsfile justfile makefile procfile rakefile vagrantfile "
-).split()
+    ".dockercfg", ".env", ".envrc", ".git-credentials", ".netrc", ".npmrc", ".pgpass", ".pypirc", "brewfile",
+    "caddyfile", "config", "credentials", "dockerfile", "gemfile", "jenkinsfile", "justfile", "makefile", "procfile",
+    "rakefile", "vagrantfile",
+)
 DEPENDENCY_FOLDERS = (
-    ".git .next .venv __pycache__ build dist node_modules target vendor venv "
-).split()
+    ".git", ".next", ".venv", "__pycache__", "build", "dist", "node_modules", "target", "vendor", "venv",
+)
 
 
 def is_source_text_name(name: Column) -> Column:
@@ -164,16 +176,22 @@ def excluded(path: Column, patterns: list[str]) -> Column:
     return path.rlike("|".join(f"(?:{r})" for r in known)) if known else F.lit(False)
 
 
+# Categories that name no provider.
+GENERIC_CATEGORIES = (
+    "API", "Auth", "Bearer Authorization", "Credential", "JSON Web Token", "Key", "Nonce", "OTP / 2FA Secret",
+    "Other", "Salt", "Secret", "Token", "UUID",
+)
+
+
 def macro_category(categories: Column) -> Column:
     """Coarse family of a ':'-separated list of categories."""
     low, parts = F.lower(F.replace(categories, F.lit(":"), F.lit(" "))), F.split(categories, ":")
     any_of = lambda *names: F.arrays_overlap(parts, F.array(*map(F.lit, names)))
-    generic = ["API", "Auth", "Bearer Authorization", "Credential", "JSON Web Token", "Key", "Nonce", "OTP / 2FA Secret", "Other", "Salt", "Secret", "Token", "UUID"]
     return (
         F.when(low.rlike("private key|jwk|pkcs"), "private_key")
         .when(low.rlike("password|passwd|securestring|curl"), "password")
         .when(low.rlike("url credentials|basic authorization"), "url_or_basic_auth")
-        .when(F.size(F.array_except(parts, F.array(*map(F.lit, generic)))) > 0, "provider_pattern")
+        .when(F.size(F.array_except(parts, F.array(*map(F.lit, GENERIC_CATEGORIES)))) > 0, "provider_pattern")
         .when(any_of("Token", "Auth", "Bearer Authorization", "JSON Web Token"), "token_or_auth")
         .when(any_of("Key", "Secret", "API", "Credential", "OTP / 2FA Secret"), "generic_key_or_secret")
         .when(any_of("UUID", "Salt", "Nonce"), "uuid_salt_nonce")

@@ -14,7 +14,7 @@ from .layers import Attention, Ngrams, StateSpace, exact_dot, lookahead, rms_fac
 
 # Fixed values of the format: versions that are read, features, names.
 NEWEST = 3
-FEATURES = "attention lookahead ngram_gate ngram_layer ngram_heads multilabel score ordinal byte_map query stream".split()
+FEATURES = ("attention", "lookahead", "ngram_gate", "ngram_layer", "ngram_heads", "multilabel", "score", "ordinal", "byte_map", "query", "stream")
 POOLINGS = {"last": 1, "mean": 1, "max": 1, "last_mean": 2, "max_mean": 2}
 AGGREGATES = {
     "choice": ["max", "mean", "vote", "any"],

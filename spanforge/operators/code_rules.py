@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bytestr import matches
 
+# What keys, payloads, encoded runs, logins and assignments look like.
 PRIVATE_KEY = r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----.*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 DATA_URI = r"data:[A-Za-z0-9.+\-]+/[A-Za-z0-9.+\-]+(?:;[A-Za-z0-9=._\-]+)*;base64,[A-Za-z0-9+/= \t\n\r\f\x0B]{16,}"
 BASE64_RUN = r"[A-Za-z0-9+/]{32,}={0,2}"

@@ -61,16 +61,30 @@ def on_added_lines(findings: DataFrame, ranges: DataFrame) -> DataFrame:
     return findings.join(r, meets, "left_semi")
 
 
-def staged(spark: SparkSession, repository: str) -> DataFrame:
-    """Documents that are staged in a git repository on the driver, by object id; links and empty blobs are skipped."""
-    git = lambda *a: subprocess.run(["git", "-C", repository, *a], capture_output=True, check=True).stdout
+def staged(spark: SparkSession, repository: str, limit: int = 1 << 30) -> tuple[DataFrame, DataFrame]:
+    """(documents, failures) of what is staged in a git repository on the driver; submodules and empty blobs are skipped,
+    blobs over the limit are failures and are not read. Two processes, whatever the number of blobs."""
+
+    def git(*a: str, given: bytes = b"") -> bytes:
+        return subprocess.run(["git", "-C", repository, *a], input=given, capture_output=True, check=True).stdout
+
     parts = git("diff", "--raw", "-z", "--cached", "--diff-filter=ACMRT", "--no-renames").split(b"\0")
-    items = []
+    blobs = []
     for meta, name in zip(parts[::2], parts[1::2]):
         _, mode, _, blob, _ = meta.decode().split(" ")
-        if mode != "160000" and (body := git("cat-file", "blob", blob)):
-            items.append((name.decode("utf-8", "replace"), body))
-    return in_memory(spark, items)
+        if mode != "160000":
+            blobs.append((blob, name.decode("utf-8", "replace")))
+    asked = lambda some: "".join(f"{blob}\n" for blob, _ in some).encode()
+    sizes = [int(line.rsplit(b" ", 1)[1]) for line in git("cat-file", "--batch-check", given=asked(blobs)).splitlines()]
+    wanted = [b for b, size in zip(blobs, sizes) if 0 < size <= limit]
+    large = [(name, "larger than the limit") for (_, name), size in zip(blobs, sizes) if size > limit]
+    out, items, at = git("cat-file", "--batch", given=asked(wanted)), [], 0
+    for _, name in wanted:  # "id type size", a line feed, the content, a line feed
+        end = out.index(b"\n", at)
+        size = int(out[at:end].rsplit(b" ", 1)[1])
+        items.append((name, out[end + 1 : end + 1 + size]))
+        at = end + size + 2
+    return in_memory(spark, items), spark.createDataFrame(large, "file string, reason string")
 
 
 def working_changes(repository: str, ref: str) -> str:

@@ -16,7 +16,7 @@ from spanforge.operators import evaluate as E
 from spanforge.operators.windows import whole_windows
 from spanforge.sources import findings as R
 from spanforge.sources import walk as W
-from spanforge.sources.files import added_lines, on_added_lines
+from spanforge.sources.files import added_lines, on_added_lines, staged, working_changes
 
 
 def rows(df):
@@ -178,3 +178,25 @@ def test_added_lines_and_whole_windows(spark):
     assert rows(on_added_lines(found, ranges)) == [("f", 1, 3), ("f", 4, 4)]
     docs = spark.createDataFrame([(1, "abc"), (2, ""), (3, None)], "doc_id int, s string")
     assert rows(whole_windows(docs, F.length("s")).select("doc_id", "win", "start", "length")) == [(1, 0, 0, 3)]
+
+
+def test_git(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@example.org", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (tmp_path / "old.txt").write_text("one\ntwo\n")
+    git("add", ".")
+    git("commit", "-qm", "first")
+    (tmp_path / "old.txt").write_text("one\nnew\ntwo\n")
+    for name, body in (("ä b.txt", b"staged\n\nbytes\0"), ("empty", b""), ("large", b"x" * 99)):
+        (tmp_path / name).write_bytes(body)
+    git("add", "ä b.txt", "empty", "large", "old.txt")
+    (tmp_path / "old.txt").write_text("one\nnew\ntwo\nthree\n")  # not staged any more
+    docs, failures = staged(spark, str(tmp_path), 50)
+    assert {r.path: bytes(r.content) for r in docs.collect()} == {"ä b.txt": b"staged\n\nbytes\0", "old.txt": b"one\nnew\ntwo\n"}
+    assert rows(failures) == [("large", "larger than the limit")]
+    added = {r.file: (r.first, r.last) for r in added_lines(spark, working_changes(str(tmp_path), "HEAD")).where("file = 'old.txt'").collect()}
+    assert added and set(rows(added_lines(spark, working_changes(str(tmp_path), "HEAD")).where("file = 'old.txt'"))) == {("old.txt", 2, 2), ("old.txt", 4, 4)}
+    with pytest.raises(ValueError):
+        working_changes(str(tmp_path), "--output=x")
