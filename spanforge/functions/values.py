@@ -141,7 +141,7 @@ DEPENDENCY_FOLDERS = (
 def is_source_text_name(name: Column) -> Column:
     low = F.replace(F.lower(name), F.lit("K"), F.lit("k"))
     extension = F.element_at(F.split(low, r"\."), -1)
-    return extension.isin(SOURCE_EXTENSIONS) | low.isin(SOURCE_NAMES) | low.rlike("^(dockerfile|jenkinsfile)")
+    return extension.isin(*SOURCE_EXTENSIONS) | low.isin(*SOURCE_NAMES) | low.rlike("^(dockerfile|jenkinsfile)")
 
 
 def in_dependency_folder(path: Column) -> Column:

@@ -35,10 +35,8 @@ def test_matches_duckdb(spark, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, found.fetchall())
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.SQL)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
