@@ -13,7 +13,7 @@ from .licenses import scan_licenses
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .pii import replace_pii
-from .quality_rules import TARGET_ROWS, quality_rules
+from .quality_rules import quality_rules
 from .token_counts import count_tokens
 
 
@@ -68,8 +68,7 @@ def op2_pii_surrogates(spark, sf_dir):
 
 def op3_quality_rules(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").where(~held_out(F.col("doc_id")))
-    trusted = labels.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(TARGET_ROWS)
-    return quality_rules(documents(spark, sf_dir), trusted)
+    return quality_rules(documents(spark, sf_dir), labels.select(F.col("doc_id").alias("id")))
 
 
 def op4_license_scan(spark, sf_dir):

@@ -78,6 +78,17 @@ def test_held_out_accuracy(spark, name, label, threshold, least):
     assert (predicted == truth).mean() >= max(truth.mean(), 1 - truth.mean()) - 0.05
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_quality_rules_on_held_out_rows(spark):
+    """Of labelled documents that the target was not counted from and that pass the base rules, good ones are kept and
+    bad ones are not."""
+    sf = SF.replace("sf0.1", "sf0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.QUERIES["op3_quality_rules"](spark, sf).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    seen = [(labels[r.doc_id], r.kept) for r in rows if labels.get(r.doc_id) in (0, 1) and not r.base_failed]
+    assert len(seen) > 20 and sum(y == kept for y, kept in seen) >= 0.95 * len(seen)
+
+
 ROWS = [(1, "a fine text " * 30), (2, None), (3, ""), (4, "you idiot " * 40), (4, "you idiot " * 40), (None, "x"), (5, "long " * 200_000)]
 
 
