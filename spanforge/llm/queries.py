@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import quality_classifier, toxicity
 from .byte_bpe import encode_decode
 from .exact_dedup import mark_exact_duplicates
-from .licenses import scan_licenses
+from .licenses import SHINGLE, scan_licenses, templates
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .pii import replace_pii
@@ -114,6 +114,46 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.co
 FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+def _op4_sql() -> str:
+    """All windows and templates compared exactly; the operator compares those that share a band."""
+    rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in templates().items())
+    words = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+    shingles = f"list_transform(range(1, greatest(len(w) - {SHINGLE - 2}, 1)), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))"
+    return f"""
+WITH t0(license, body) AS (VALUES {rows}),
+t1 AS (SELECT license, {words.format("body")} AS w FROM t0),
+t AS (SELECT license, len(w) AS n, unnest(list_distinct({shingles})) AS s FROM t1),
+z AS (SELECT license, count(*) AS size FROM t GROUP BY license),
+d1 AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+d2 AS (SELECT doc_id, {shingles} AS s FROM d1),
+h AS (SELECT * FROM (SELECT doc_id, unnest(s) AS s, unnest(range(len(s))) AS j FROM d2) WHERE s IN (SELECT s FROM t)),
+a AS (SELECT DISTINCT h.doc_id, h.j, t.n FROM h JOIN t USING (s)),
+c AS (SELECT a.doc_id, a.j, t.license, count(DISTINCT h.s) AS same FROM a JOIN h ON h.doc_id = a.doc_id AND h.j BETWEEN a.j AND a.j + a.n - {SHINGLE}
+      JOIN t ON t.s = h.s AND t.n = a.n GROUP BY ALL),
+f AS (SELECT c.doc_id, c.license, c.j, c.same / z.size AS share FROM c JOIN z USING (license) WHERE 100 * c.same >= 80 * z.size),
+b AS (SELECT doc_id, license, max(share) AS containment, count(*) AS windows FROM f GROUP BY ALL)
+SELECT b.doc_id, b.license, b.containment, min(f.j)::BIGINT AS word, b.windows FROM b JOIN f ON f.doc_id = b.doc_id AND f.license = b.license AND f.share = b.containment GROUP BY ALL
+"""
+
+
+def _op8_sql() -> str:
+    """Greedy pieces of each distinct word, longest first, as hexadecimal prefixes."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return rf"""
+WITH RECURSIVE v AS (SELECT hex(from_base64(t)) AS t FROM read_csv('{path}', delim=' ', header=false, quote='', escape='', columns={{'t': 'VARCHAR', 'r': 'INT'}})),
+lengths AS (SELECT DISTINCT length(t) AS n FROM v),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT DISTINCT unnest(w) AS word FROM d),
+r AS (SELECT word, hex(encode(' ' || word)) AS h, 1::BIGINT AS pos, 0::BIGINT AS n FROM words
+  UNION ALL SELECT word, h, pos + size, n + 1 FROM (
+    SELECT r.word, r.h, r.pos, r.n, max(l.n) AS size FROM r JOIN lengths l ON l.n <= length(r.h) - r.pos + 1 JOIN v ON v.t = substr(r.h, r.pos, l.n) GROUP BY ALL)),
+c AS (SELECT word, max(n) AS n FROM r GROUP BY word),
+e AS (SELECT doc_id, unnest(w) AS word FROM d),
+s AS (SELECT doc_id, count(*) AS n_words, sum(c.n)::BIGINT AS n_tokens FROM e JOIN c USING (word) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n_words, 0) AS n_words, coalesce(s.n_tokens, 0)::BIGINT AS n_tokens FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -127,4 +167,4 @@ QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL}
+ORACLE_SQL = {"op4_license_scan": _op4_sql(), "op8_token_counts": _op8_sql(), "op7_exact_dedup": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL}
