@@ -179,6 +179,8 @@ def _taken(lines: DataFrame, taken: DataFrame) -> DataFrame:
     whole = lambda x: F.floor(x / width).cast("bigint")
     some = lines.where("size > 0").withColumn("block", F.explode(F.sequence(whole(first), whole(last - 1))))
     overlap = F.least(last, (F.col("block") + 1) * width) - F.greatest(first, F.col("block") * width)
+    # the blocks come from a few rows of sources, so the optimizer takes them for few and would broadcast them all
+    taken = taken.hint("merge")
     out = ["id", "size", "source_size", "target", "sx", "part", "h"]
     words = (
         some.withColumn("words", overlap)
