@@ -209,9 +209,12 @@ def _star(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each list's most central member, the one whose lists are the largest, with its other members."""
     weight = lists.groupBy("id").agg(F.sum("members").alias("w"))
     centre = lists.join(weight, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct(F.col("w"), F.xxhash64("id"))).alias("c"))
-    star = lists.join(centre.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")), "key")
-    star = star.where((F.col("id") != F.col("centre")) & _alike_sizes("n", "cn", percent))
-    return written(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "star")
+    # a table, so that both sides of the join come from a shuffle and a long list can be split over tasks
+    centre = written(centre.select("key", F.col("c.id").alias("centre"), F.col("c.n").alias("cn")), "centres")
+    star = lists.join(centre, "key").where((F.col("id") != F.col("centre")) & _alike_sizes("n", "cn", percent))
+    star = written(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "star")
+    forget(centre)
+    return star
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, k: int) -> DataFrame:
@@ -240,14 +243,15 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
     member = lists.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     parts = member.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
     mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.max_by("c", F.struct("m", "c")).alias("family"))
-    member = written(member.join(mixed.where("parts > 1").select("key", "m", "family"), "key"), "members")
+    mixed = written(mixed.where("parts > 1").select("key", "m", "family"), "mixed")  # as the centres
+    member = written(member.join(mixed, "key"), "members")
     x, y = (member.where(F.col("m") <= SMALL).select("key", *[F.col(c).alias(c + e) for c in ("id", "n", "c")]) for e in "ab")
     rest = x.join(y, (x.key == y.key) & (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & _alike_sizes("na", "nb", percent))
     rest = rest.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
     rest = written(rest.distinct().join(star, ["a", "b"], "left_anti"), "rest")
     long = _in_blocks(member.where(F.col("m") > SMALL).select("family", "id", "c", "n").distinct(), reps, texts, shingle, k, percent)
     label = components(links.union(_verified(rest, reps, texts, shingle, k, percent)).union(long))
-    for d in (lists, star, member, long, rest):
+    for d in (lists, star, mixed, member, long, rest):
         forget(d)
 
     found = classes.join(label, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
