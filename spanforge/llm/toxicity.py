@@ -135,6 +135,7 @@ def fit_frame(sample: DataFrame, bits: int = BITS, **rates) -> FtrlModel:
             labels += batch.column(0).to_pylist()
             counts += pc.list_value_length(batch.column(1)).to_pylist()
             flat.frombytes(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
+        pa.default_memory_pool().release_unused()  # the worker lives on and serves later stages
         got = _ftrl(np.frombuffer(flat, np.int32), np.cumsum(counts, dtype=np.int64)[1:], np.array(labels), bits, **rates)
         index, weight = np.append(got.index, -1), np.append(got.weight, got.bias)  # the bias last, as bucket -1
         yield pa.RecordBatch.from_arrays([pa.array(index, pa.int32()), pa.array(weight, pa.float64())], names=["bucket", "weight"])
