@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ._common import constant_array, text_or_empty, words_of
 
 BUCKETS = 1 << 16
-#: Trusted ids whose texts are counted at most (the least by a hash of the id); raw counts have no bound.
-TARGET_ROWS = 20_000
+#: Trusted ids that are broadcast to mark their texts; more are joined by a shuffle. All of them are counted either way.
+BROADCAST_IDS = 1_000_000
 #: Of the mean log ratio of a text's n-grams. Fixed, not fitted to a corpus; a test holds it against held-out labels.
 THRESHOLD = -0.6
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+"
@@ -35,11 +35,14 @@ def _pair(h: Column, i: Column) -> Column:
 
 
 def ratio_weights(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, smoothing: float = 1.0) -> list[float]:
-    """log p(target) - log p(raw) of each bucket. Of ``trusted`` (a column ``id``) ``TARGET_ROWS`` ids are used at most,
-    those with the least hash, so they are broadcast; the counts cover all texts and are at most ``BUCKETS`` rows."""
-    trusted = trusted.where("id IS NOT NULL").select("id").distinct().orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(TARGET_ROWS)
-    rows = docs.select(F.col(id_col).alias("id"), _token_hashes(F.col(text_col)).alias("h"))
-    rows = rows.join(F.broadcast(trusted.select("id", F.lit(1).alias("t"))), "id", "left")
+    """log p(target) - log p(raw) of each bucket. ``trusted`` has a column ``id``; the texts of all its ids are counted as
+    target and all texts as raw. The counts are at most ``BUCKETS`` rows."""
+    ids = trusted.where("id IS NOT NULL").select("id").distinct()
+    marks = ids.select("id", F.lit(1).alias("t"))
+    marks = F.broadcast(marks) if ids.count() <= BROADCAST_IDS else marks
+    # joined before they are hashed: where the join is a shuffle, the texts are smaller than their hashes
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id", "left")
+    rows = rows.select("t", _token_hashes(F.col("text")).alias("h"))
     pairs = F.when(F.size("h") > 1, F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: _pair(F.col("h"), i)))
     grams = F.concat(F.transform("h", _bucket), F.coalesce(pairs, F.array().cast("array<int>")))
     counts = (

@@ -239,6 +239,23 @@ def test_quality_rules_without_target_or_rows(spark):
     assert Q.quality_rules(docs(spark, []), none).collect() == []
 
 
+@pytest.mark.parametrize("broadcast_ids", [Q.BROADCAST_IDS, 100])
+def test_quality_rules_count_all_trusted_texts(spark, monkeypatch, broadcast_ids):
+    """However many ids are trusted, whether they are broadcast or joined by a shuffle."""
+    monkeypatch.setattr(Q, "BROADCAST_IDS", broadcast_ids)
+    rows, trusted = 24_000, 21_000
+    table = spark.range(rows).selectExpr("id AS doc_id", "concat('common word', id % 5) AS text")
+    twice = spark.range(trusted).union(spark.range(100)).union(spark.createDataFrame([(None,), (-1,)], "id bigint"))
+    raw, target = Counter(), Counter()
+    for i in range(5):
+        g = grams(f"common word{i}")
+        raw.update({b: g.count(b) * rows // 5 for b in set(g)})
+        target.update({b: g.count(b) * trusted // 5 for b in set(g)})
+    n_raw, n_target = sum(raw.values()) + Q.BUCKETS, sum(target.values()) + Q.BUCKETS
+    got = Q.ratio_weights(table, twice, "doc_id", "text")
+    assert got == pytest.approx([math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw) for b in range(Q.BUCKETS)], abs=1e-5)
+
+
 # --- license scans ----------------------------------------------------------------------------------------------------
 
 
