@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: gives at most 2**BITS features.
 FIT_ROWS, BITS = 16_384, 20
 REMEMBERED = 300_000
+#: Features that are counted at a time, and rows that the fit's workers get in a batch.
+PART, BATCH = 1 << 18, 1024
 WORD = re.compile(r"\w+").findall
 
 
@@ -77,11 +79,19 @@ class FtrlModel:
 
 
 def _ftrl(flat: np.ndarray, ends: np.ndarray, labels: np.ndarray, bits: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, least: int) -> FtrlModel:
-    """``flat`` holds the features of all rows in order, row i up to ``ends[i]``."""
-    enough = np.bincount(flat, minlength=1 << bits) >= least
-    keep = enough[flat]
-    ends = np.concatenate([[0], np.cumsum(keep)])[ends]
-    flat, y = flat[keep], labels.astype(float)
+    """``flat`` holds the features of all rows in order, row i up to ``ends[i]``; it is overwritten by those of them that
+    count, row by row, so that the fit takes little more memory than its features."""
+    seen = np.zeros(1 << bits, np.int64)
+    for at in range(0, len(flat), PART):
+        seen += np.bincount(flat[at : at + PART], minlength=1 << bits)
+    enough, y = seen >= least, labels.astype(float)
+    kept, start, size = np.empty(len(ends), np.int64), 0, 0
+    for i, end in enumerate(ends.tolist()):
+        x, start = flat[start:end], end
+        x = x[enough[x]]
+        flat[size : size + len(x)] = x
+        kept[i] = size = size + len(x)
+    ends = kept
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bz = bn = bias = 0.0
     for _ in range(epochs):
@@ -134,7 +144,7 @@ def fit_frame(sample: DataFrame, bits: int = BITS, **rates) -> FtrlModel:
         for batch in batches:
             labels += batch.column(0).to_pylist()
             counts += pc.list_value_length(batch.column(1)).to_pylist()
-            flat.frombytes(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes())
+            flat.frombytes(batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint8))
         pa.default_memory_pool().release_unused()  # the worker lives on and serves later stages
         got = _ftrl(np.frombuffer(flat, np.int32), np.cumsum(counts, dtype=np.int64)[1:], np.array(labels), bits, **rates)
         index, weight = np.append(got.index, -1), np.append(got.weight, got.bias)  # the bias last, as bucket -1
@@ -143,7 +153,13 @@ def fit_frame(sample: DataFrame, bits: int = BITS, **rates) -> FtrlModel:
     kind = sample.schema["id"].dataType.simpleString()
     made = sample.select("h", "id", "y", "t").mapInArrow(features, f"h bigint, id {kind}, y int, x array<int>")
     one = made.repartition(1).sortWithinPartitions("h", "id").select("y", "x")
-    got = one.mapInArrow(learn, "bucket int, weight double").toArrow()
+    conf, name = sample.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = conf.get(name)
+    conf.set(name, BATCH)  # a row has thousands of features
+    try:
+        got = one.mapInArrow(learn, "bucket int, weight double").toArrow()
+    finally:
+        conf.set(name, rows)
     if not got.num_rows:  # no row, so no task
         return fit([], bits)
     index, weight = got.column("bucket").to_numpy(), got.column("weight").to_numpy()
@@ -177,7 +193,9 @@ def drop_toxic(docs: DataFrame, model: FtrlModel, id_col: str = "doc_id", text_c
         known, hasher = shared.value, Hasher(shared.value.bits)
         at = columns.index(text_col)
         for batch in batches:
-            clean = [known.score(hasher(t or "")) < threshold for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                clean = [known.score(hasher(t or "")) < threshold for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -177,6 +178,20 @@ def ftrl_by_the_book(rows, alpha, beta, l1, l2, epochs, least):
     return {i: weight(i) for i in z if i != "bias" and weight(i)}
 
 
+def test_ftrl_takes_little_more_memory_than_its_features():
+    """An executor's workers share its memory: counting and leaving out rare features must not copy them all."""
+    rows, each = 2000, 2000
+    flat = np.tile(np.arange(each, dtype=np.int32) * 2, rows)
+    flat[each - 1] = 4001  # one text's alone
+    ends, labels = np.arange(1, rows + 1) * each, np.arange(rows) % 2
+    tracemalloc.start()
+    model = toxicity._ftrl(flat, ends, labels, 12, **toxicity.RATES | {"epochs": 1, "l1": 0.0})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.index.tolist() == list(range(0, 2 * each, 2))
+    assert peak < flat.nbytes / 2
+
+
 def test_ftrl_equals_the_book():
     r = random.Random(4)
     rows = [(" ".join(r.choice("abcdefghij") + str(r.randint(0, 9)) for _ in range(30)) + (" vile scum" if i % 3 == 0 else " kind"), int(i % 3 == 0)) for i in range(120)]
