@@ -10,6 +10,7 @@ least rank of each row kept, a round looks at the rows' leasts and at one row, s
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._common import lean
+
 #: Rank of a pair that does not merge.
 NONE = np.int32(2**31 - 1)
 LONGEST = 256
 BUCKETS = (4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, LONGEST)
-#: Pieces a worker remembers, and characters whose pieces are encoded together.
-REMEMBERED, CHUNK = 200_000, 2_000_000
+#: Pieces a worker remembers in a task, characters whose pieces are encoded together, and cells of a matrix.
+REMEMBERED, CHUNK, CELLS = 200_000, 2_000_000, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,14 +38,16 @@ class PairTable:
     """Open addressing over (left id, right id) -> id of the joined token."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        found = [
-            ((ranks[t[:i]] << 32) | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
-        ]
-        self.bits = max(4, (len(found) * 3).bit_length())
+        keys, values = array("q"), array("i")  # no tuples: they would leave the worker's memory in pieces
+        for t, r in ranks.items():
+            for i in range(1, len(t)):
+                if (left := ranks.get(t[:i])) is not None and (right := ranks.get(t[i:])) is not None:
+                    keys.append(left << 32 | right)
+                    values.append(r)
+        self.bits = max(4, (len(keys) * 3).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, NONE, np.int32)
-        keys = np.array([k for k, _ in found], np.int64)
-        values = np.array([v for _, v in found], np.int32)
+        keys, values = np.array(keys, np.int64), np.array(values, np.int32)
         at = self._hash(keys)
         while len(keys):
             free = self.keys[at] < 0
@@ -85,7 +90,17 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Known pieces have numbers; the ids of piece i lie between ends i and i + 1."""
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = array("i"), array("i", [0])
+
+    def _keep(self, piece: str, ids: list[int]) -> None:
+        self.known[piece] = len(self.known)
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
 
     def merge_rows(self, pieces: list[bytes], width: int) -> list[list[int]]:
         """Ids of pieces of at most ``width`` bytes."""
@@ -153,21 +168,31 @@ class ByteBpe:
         """Encodes the pieces that are not known yet."""
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(pieces)
+            self.forget()
+            new = list(pieces)
         buckets: dict[int, list[str]] = {}
         for p in new:
             b = p.encode()
             if (whole := self.ranks.get(b)) is not None:
-                self.known[p] = [whole]
+                self._keep(p, [whole])
             elif len(b) > LONGEST:
-                self.known[p] = self.merge_long(b)
+                self._keep(p, self.merge_long(b))
             else:
                 buckets.setdefault(next(w for w in BUCKETS if len(b) <= w), []).append(p)
         for width, rows in buckets.items():
-            step = max(1, 1_000_000 // width)
+            step = max(1, CELLS // width)
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
-                self.known.update(zip(part, self.merge_rows([p.encode() for p in part], width)))
+                for p, ids in zip(part, self.merge_rows([p.encode() for p in part], width)):
+                    self._keep(p, ids)
+
+    def _ids(self, pieces: list[str]) -> np.ndarray:
+        """Ids of known pieces, one after another."""
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int32, len(pieces))
+        flat, ends = np.frombuffer(self.flat, np.int32), np.frombuffer(self.ends, np.int32)
+        first, size = ends[number], ends[number + 1] - ends[number]
+        upto = np.cumsum(size, dtype=np.int64)
+        return flat[np.repeat(first - upto + size, size) + np.arange(upto[-1])] if len(pieces) else np.empty(0, np.int32)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text; texts are taken in chunks of bounded length, a longer one by itself."""
@@ -176,8 +201,7 @@ class ByteBpe:
             if chunk and (t is None or held + len(t) > CHUNK):
                 split = [self.split(x) for x in chunk]
                 self.learn(set(chain.from_iterable(split)))
-                for pieces in split:
-                    yield np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), np.int32)
+                yield from map(self._ids, split)
                 chunk, held = [], 0
             if t is not None:
                 chunk.append(t)
@@ -227,6 +251,7 @@ def encode_decode(
                 if decoded_col:
                     arrays.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*order, *(f.name for f in new)])
+        bpe.forget()  # between tasks a worker holds the vocabulary alone
 
     use = docs.drop(*[n for n in names if n in docs.columns and n != text_col])
-    return use.mapInArrow(run, schema)
+    return use.mapInArrow(lean(run), schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import text_or_empty, words_of, written
+from ._common import lean, text_or_empty, words_of, written
 
 #: Targets are made on the driver, from one row for each source; shards are at most so many.
 MAX_SHARDS = 4096
@@ -151,7 +151,7 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     sources = spark.createDataFrame(table, "sx bigint, source_name string, source_size bigint, target double, blocks bigint, width bigint, slots bigint")
     shards = max(1, min(MAX_SHARDS, math.ceil(all_slots / shard_slots)))
     dealt = sources.where("slots > 0").select("sx", "blocks", "width", "slots").repartition("sx")
-    counts = dealt.mapInArrow(_shard_counts(shards, seed), "shard bigint, sx bigint, blocks bigint, width bigint, n bigint, first bigint")
+    counts = dealt.mapInArrow(lean(_shard_counts(shards, seed)), "shard bigint, sx bigint, blocks bigint, width bigint, n bigint, first bigint")
     pieces = counts.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(PIECE).cast("bigint"))))
     slot = F.sequence(F.col("first") + F.col("at"), F.col("first") + F.least(F.col("at") + PIECE, F.col("n")) - 1)
     taken = (

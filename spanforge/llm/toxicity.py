@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import lean
+
 #: Labelled rows that the fit reads at most: those with the least hash of their id. Their texts are read whole, and each
 #: gives at most 2**BITS features.
 FIT_ROWS, BITS = 16_384, 20
@@ -151,13 +153,13 @@ def fit_frame(sample: DataFrame, bits: int = BITS, **rates) -> FtrlModel:
         yield pa.RecordBatch.from_arrays([pa.array(index, pa.int32()), pa.array(weight, pa.float64())], names=["bucket", "weight"])
 
     kind = sample.schema["id"].dataType.simpleString()
-    made = sample.select("h", "id", "y", "t").mapInArrow(features, f"h bigint, id {kind}, y int, x array<int>")
+    made = sample.select("h", "id", "y", "t").mapInArrow(lean(features), f"h bigint, id {kind}, y int, x array<int>")
     one = made.repartition(1).sortWithinPartitions("h", "id").select("y", "x")
     conf, name = sample.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     rows = conf.get(name)
     conf.set(name, BATCH)  # a row has thousands of features
     try:
-        got = one.mapInArrow(learn, "bucket int, weight double").toArrow()
+        got = one.mapInArrow(lean(learn), "bucket int, weight double").toArrow()
     finally:
         conf.set(name, rows)
     if not got.num_rows:  # no row, so no task
@@ -182,7 +184,7 @@ def score_toxicity(docs: DataFrame, model: FtrlModel, id_col: str = "doc_id", te
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: FtrlModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -198,4 +200,4 @@ def drop_toxic(docs: DataFrame, model: FtrlModel, id_col: str = "doc_id", text_c
                 clean = [known.score(hasher(t or "")) < threshold for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
