@@ -1,4 +1,4 @@
-"""What Python workers hold between tasks."""
+"""What Python workers hold between tasks, and how many files a sample has."""
 
 import os
 import random
@@ -7,6 +7,7 @@ import re
 import public_tokenizers
 import pyarrow as pa
 
+from spanforge.llm import quality_classifier
 from spanforge.llm.byte_bpe import encode_decode
 
 
@@ -47,3 +48,19 @@ def test_encoders_give_memory_back(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = lambda docs: encode_decode(docs, path, public_tokenizers.PATTERN, decoded_col="d").write.format("noop").mode("overwrite").save()
     assert growth(spark, tmp_path, coded) < 20
+
+
+def test_sample_is_few_files(spark, tmp_path, monkeypatch):
+    files = []
+    monkeypatch.setattr(quality_classifier, "forget", lambda sample: files.extend(sample.inputFiles()))
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        docs = table(spark, tmp_path, 300, 3)
+        quality_classifier.fit_frame(quality_classifier.labelled_sample(docs, docs, "quality", "doc_id", "text", 10_000))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert 0 < len(files) <= quality_classifier.FILES
