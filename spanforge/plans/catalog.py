@@ -448,12 +448,11 @@ SELECT doc_id, start, "end", CASE WHEN value[1] = ' ' THEN 'space' WHEN value[1]
 def byte_map_runs(spark, sf_dir):
     d = texts(spark, sf_dir)
     wins = W.windows(d, F.length("s"), 512, 384, 1)
-    parts = wins.select("doc_id", "win", "start", "length", W.slice_of(F.col("s"), F.col("start"), F.col("length")).alias("s")).withColumn("key", F.struct("doc_id", "win", "start"))
-    runs = B.matches(parts, "[A-Za-z]+|[0-9]+|[ ]+", "key")
-    first = F.left("value", F.lit(1))
-    kind = F.when(first == " ", "space").when(first.between("0", "9"), "digit").otherwise("letter")
-    runs = runs.select("key.doc_id", "key.win", (F.col("start") + F.col("key.start")).alias("start"), (F.col("end") + F.col("key.start")).alias("end"), kind.alias("class"))
-    return H.byte_map_regions(wins.select("doc_id", "win", "start", "length"), runs)
+    parts = wins.select("doc_id", "win", "start", B.to_bytes(W.slice_of(F.col("s"), F.col("start"), F.col("length"))).alias("classes"))
+    kinds = ["other", "letter", "digit", "space"]
+    table = bytes(1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if b == 32 else 0 for b in range(128)) + bytes(128)
+    runs = H.class_regions(parts, table=table, without=0, ordered=True)
+    return runs.select("doc_id", "start", "end", F.get(F.array(*map(F.lit, kinds)), F.col("class")).alias("class"))
 
 
 @query(

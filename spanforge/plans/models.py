@@ -103,12 +103,8 @@ def model_choice_by_document(spark, sf_dir):
 )
 def model_byte_map(spark, sf_dir):
     """Regions of one class of byte, from the byte map of each window."""
-    r = _scanned(spark, sf_dir)
-    own = r.select("doc_id", "win", "start", "length", F.explode("heads").alias("h")).where("h.head = 2")
-    shown = own.select("doc_id", "win", "start", "length", F.decode("h.classes", "ISO-8859-1").alias("s")).withColumn("key", F.struct("doc_id", "win", "start"))
-    runs = B.matches(shown, "\x00+|\x01+|\x02+", "key")
-    runs = runs.select("key.doc_id", "key.win", (F.col("start") + F.col("key.start")).alias("start"), (F.col("end") + F.col("key.start")).alias("end"), F.ascii(F.left("value", F.lit(1))).alias("class"))
-    return H.byte_map_regions(r.select("doc_id", "win", "start", F.col("length").cast("bigint").alias("length")), runs)
+    own = _scanned(spark, sf_dir).select("doc_id", "win", "start", F.explode("heads").alias("h")).where("h.head = 2")
+    return H.class_regions(own.select("doc_id", "win", "start", F.col("h.classes").alias("classes")), ordered=True)
 
 
 @query(

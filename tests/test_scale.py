@@ -1,5 +1,7 @@
 """Steps whose cost must not grow faster than their input."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,8 @@ from pyspark.sql import functions as F
 from spanforge.model import labels
 from spanforge.model.network import Network
 from spanforge.model.run import _batches, _rows, run_streams, spans
+from spanforge.operators import heads
+from spanforge.operators.windows import windows
 from spanforge.plans.models import flag_model
 from spanforge.streaming.chunks import chunks
 
@@ -50,3 +54,21 @@ def test_streams_of_documents_run_together(spark):
     want = {(i, at, "C0" if c == ord("B") else "C1") for i, b in texts for at, c in enumerate(b) if c in b"B9"}
     rows = got.collect()
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_regions_of_classes_take_one_pass(spark, ordered, monkeypatch):
+    """As ``byte_map_regions`` has them, in parts of few windows, and without a row for each run in a join."""
+    monkeypatch.setattr(heads, "TAKEN", 100)
+    texts = [(i, some_bytes(n, i) if i % 3 else b"a" * n) for i, n in enumerate([1, 20, 21, 16, 17, 0, 300, 5, 64, 40, 40, 7])]
+    d = spark.createDataFrame(texts, "doc_id bigint, content binary").coalesce(1)
+    wins = windows(d.withColumn("s", F.decode("content", "ISO-8859-1")), F.octet_length("content"), 20, 12, 1)
+    wins = wins.select("doc_id", "win", "start", F.encode(F.substr("s", (F.col("start") + 1).cast("int"), F.col("length").cast("int")), "ISO-8859-1").alias("classes"))
+    wins = wins if ordered else wins.orderBy(F.hash("doc_id", "win"))
+    table = bytes({32: 0, 57: 2}.get(b, 1) for b in range(256))
+    made = heads.class_regions(wins, table=table, without=0, ordered=ordered)
+    want = {(i, m.start(), m.end(), 2 if m[0][0] == 57 else 1) for i, b in texts for m in re.finditer(b"9+|[^9 ]+", b)}
+    got = [tuple(r) for r in made.collect()]
+    assert set(got) == want and len(got) == len(want)
+    plan = made._jdf.queryExecution().toString()
+    assert "Join" not in plan and ("Exchange" not in plan or not ordered)
