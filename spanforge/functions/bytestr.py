@@ -51,11 +51,15 @@ def running_sums(d: DataFrame, lengths: list[str]) -> DataFrame:
     return d
 
 
-def located(docs: DataFrame, patterns: list[str], s: str = "s") -> DataFrame:
+def located(docs: DataFrame, patterns: list[str], s: str = "s", needs: list[str | None] | None = None) -> DataFrame:
     """``docs`` with x0, x1, ...: the matches of each pattern in the byte string column, in order, as an array of (ord,
-    start, end, value). One pass over the rows, without a shuffle."""
+    start, end, value). One pass over the rows, without a shuffle. ``needs``: text that each match of a pattern holds, so
+    that rows without it are not searched; rows without a match are not split."""
     own, n = [F.col(c) for c in docs.columns], range(len(patterns))
-    d = docs.select(*own, *[F.regexp_extract_all(s, F.lit(p), 0).alias(f"_m{i}") for i, p in enumerate(patterns)], *[F.split(s, p).alias(f"_g{i}") for i, p in enumerate(patterns)])
+    none = F.array().cast("array<string>")
+    held = lambda i, c: F.when(F.contains(s, F.lit(needs[i])), c).when(F.col(s).isNotNull(), none) if needs and needs[i] else c
+    d = docs.select(*own, *[held(i, F.regexp_extract_all(s, F.lit(p), 0)).alias(f"_m{i}") for i, p in enumerate(patterns)])
+    d = d.select("*", *[F.when(F.size(f"_m{i}") > 0, F.split(s, p)).when(F.col(f"_m{i}").isNotNull(), none).alias(f"_g{i}") for i, p in enumerate(patterns)])
     length = lambda g, m: (F.length(g) + F.coalesce(F.length(m), F.lit(0))).cast("bigint")
     found = [F.col(f"_m{i}") for i in n]
     d = d.select(*own, *found, *[F.zip_with(f"_g{i}", f"_m{i}", length).alias(f"_n{i}") for i in n])

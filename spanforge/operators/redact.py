@@ -36,7 +36,9 @@ def _entries(docs: DataFrame, spans: DataFrame, key: str, s: str) -> DataFrame:
     value = lambda x: F.substr("s", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int"))
     d = d.withColumn("e", F.transform("e", lambda x: _with(x, fields, value=value(x))))
     fields += ["value"]
-    norm = lambda x: F.concat(x["type"], F.lit("\0"), normalize_value(x["type"], to_text(x["value"])))
+    # bytes that are no text keep values apart, though they read alike
+    rest = lambda v: F.when(F.is_valid_utf8(to_bytes(v).cast("string")), "").otherwise(F.concat(F.lit("\0"), v))
+    norm = lambda x: F.concat(x["type"], F.lit("\0"), normalize_value(x["type"], to_text(x["value"])), rest(x["value"]))
     d = d.withColumn("e", F.transform("e", lambda x: _with(x, fields, norm=norm(x))))
     d = d.withColumn("names", F.array_distinct(F.transform("e", lambda x: x["norm"])))
     d = d.withColumn("types", F.array_distinct(F.transform("e", lambda x: x["type"])))
@@ -84,8 +86,8 @@ def whole_characters(spans: DataFrame, docs: DataFrame, key: str = "doc_id", s:
     return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in spans.columns])
 
 
-def report(redacted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, sha256_in, sha256_out, spans, counts): values never appear."""
+def report(redacted: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, sha256_in, sha256_out, spans, counts) and the columns ``keep``: values never appear."""
     kinds = F.transform("entries", lambda x: x["type"])
     counts = F.map_from_entries(
         F.transform(F.array_sort(F.array_distinct(kinds)), lambda t: F.struct(t, F.size(F.filter(kinds, lambda x: x == t))))
@@ -96,17 +98,18 @@ def report(redacted: DataFrame, key: str = "doc_id") -> DataFrame:
         F.sha2(to_bytes(F.col("out")), 256).alias("sha256_out"),
         F.size("entries").cast("bigint").alias("spans"),
         counts.alias("counts"),
+        *keep,
     )
 
 
-def restore_map(redacted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, map): JSON with version, sha256_out and, for each marker, offsets and the value in base64."""
+def restore_map(redacted: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, map) and the columns ``keep``: JSON with version, sha256_out and, for each marker, offsets and the value in base64."""
     items = F.transform(
         "entries",
         lambda x: F.struct(x["marker"].alias("marker"), x["out_start"].alias("start"), x["out_end"].alias("end"), base64_line(to_bytes(x["value"])).alias("value_b64")),
     )
     body = F.struct(F.lit(1).alias("version"), F.sha2(to_bytes(F.col("out")), 256).alias("sha256_out"), items.alias("entries"))
-    return redacted.select(key, F.to_json(body).alias("map"))
+    return redacted.select(key, F.to_json(body).alias("map"), *keep)
 
 
 MAP_TYPE = "version int, sha256_out string, entries array<struct<marker:string,start:bigint,end:bigint,value_b64:string>>"
@@ -114,7 +117,12 @@ MAP_TYPE = "version int, sha256_out string, entries array<struct<marker:string,s
 
 def restore(copies: DataFrame, maps: DataFrame, key: str = "doc_id", out: str = "out") -> DataFrame:
     """(key, s, refused): the original byte string of a redacted one, or why its map does not fit."""
-    d = copies.select(key, F.col(out).alias("out")).join(maps, key).withColumn("m", F.from_json("map", MAP_TYPE))
+    return restored(copies.select(key, F.col(out).alias("out")).join(maps, key), key)
+
+
+def restored(both: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``restore`` of copies that stand beside their maps (key, out, map)."""
+    d = both.select(key, "out", F.from_json("map", MAP_TYPE).alias("m"))
     placed = F.forall("m.entries", lambda x: F.substr("out", (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")) == x["marker"])
     why = (
         F.when(F.col("m.version").isNull() | (F.col("m.version") != 1), "version")

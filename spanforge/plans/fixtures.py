@@ -16,6 +16,8 @@ DETECTORS = [
     ("CREDIT_CARD", r"[0-9]{16}", 0.5, "rules"),
     ("SECRET", r"[0-9a-f]{40}", 0.875, "model"),
 ]
+#: What every match of a detector holds.
+NEEDS = {"EMAIL": "@", "IP": ".", "PHONE": "+1 ("}
 #: How copies of the spans are changed: member, shift of start and end, type, confidence, source
 COPIES = [(0, 0, 0, None, 0.0, None), (1, 3, 3, "CONTACT", 0.125, "model"), (2, -3, -1, None, -0.25, "model")]
 
@@ -31,7 +33,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _detected(docs: DataFrame) -> DataFrame:
     """``docs`` with ``found``: what all detectors find in the row."""
     own = docs.columns
-    d = located(docs, [p for _, p, _, _ in DETECTORS])
+    d = located(docs, [p for _, p, _, _ in DETECTORS], needs=[NEEDS.get(t) for t, _, _, _ in DETECTORS])
 
     def typed(i: int, t: str, c: float, source: str) -> Column:
         return F.transform(
@@ -51,8 +53,8 @@ def plain_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
     return d.where("f IS NOT NULL").select(*keep, "f.*")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, ord, start, end, type, conf, source, member, base64: with conflicts, ties and an ensemble of three. The
+def spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` of the documents, ord, start, end, type, conf, source, member, base64: with conflicts, ties and an ensemble of three. The
     copies are made in the document's row."""
 
     def copy(x: Column, m: int, a: int, z: int, t: str | None, c: float, source: str | None) -> Column:
@@ -67,9 +69,9 @@ def spans(docs: DataFrame) -> DataFrame:
             F.lit(m == 1).alias("base64"),
         )
 
-    d = _detected(docs).select("doc_id", F.length("s").alias("n"), "found")
-    d = d.select("doc_id", "n", F.explode_outer(F.flatten(F.transform("found", lambda x: F.array(*[copy(x, *how) for how in COPIES])))).alias("f"))
-    return d.where("f IS NOT NULL AND f.end <= n").select("doc_id", "f.*")
+    d = _detected(docs).select(*keep, F.length("s").alias("n"), "found")
+    d = d.select(*keep, "n", F.explode_outer(F.flatten(F.transform("found", lambda x: F.array(*[copy(x, *how) for how in COPIES])))).alias("f"))
+    return d.where("f IS NOT NULL AND f.end <= n").select(*keep, "f.*")
 
 
 def matches_sql(name: str, pattern: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
