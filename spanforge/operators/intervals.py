@@ -85,10 +85,20 @@ def votes_needed(members: int, votes: int = 0) -> int:
 
 
 def vote_counts(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``spans`` with ``votes``: how many members have a span of the type that overlaps it."""
-    other = spans.select(key, F.col("type").alias("t"), F.col("member").alias("m"), F.col("start").alias("s"), F.col("end").alias("e"))
-    met = spans.join(other, key).where((F.col("type") == F.col("t")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e")))
-    return met.groupBy(*spans.columns).agg(F.count_distinct("m").alias("votes"))
+    """``spans`` with ``votes``: how many members have a span of the type that overlaps it; one row for equal ones.
+
+    One shuffle, by document, and no pairs: each span asks each member at its end for the furthest end among the member's
+    spans that start before."""
+    own, w = spans.columns, Window.partitionBy(key, "type")
+    d = spans.where(F.col(key).isNotNull() & F.col("type").isNotNull()).repartition(key).distinct().withColumn("_members", F.collect_set("member").over(w))
+    kind = spans.schema["member"].dataType
+    event = lambda asks, m, at, reach: F.struct(F.lit(asks).alias("asks"), m.cast(kind).alias("m"), at.cast("bigint").alias("at"), reach.cast("bigint").alias("reach"))
+    shown = F.array(event(1, F.col("member"), F.col("start"), F.col("end")))
+    asked = F.transform("_members", lambda m: event(0, m, F.col("end"), F.lit(None)))
+    d = d.select(*own, F.explode_outer(F.concat(shown, asked)).alias("_x"))
+    met = F.max("_x.reach").over(Window.partitionBy(key, "type", "_x.m").orderBy("_x.at", "_x.asks").rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumn("_met", met).where((F.col("_x.asks") == 0) & (F.col("_met") > F.col("start")))
+    return d.groupBy(*own).agg(F.count(F.lit(1)).alias("votes"))
 
 
 def vote_by_offset(spans: DataFrame, votes: int, key: str = "doc_id") -> DataFrame:
@@ -106,7 +116,7 @@ def vote_by_overlap(spans: DataFrame, votes: int, key: str = "doc_id") -> DataFr
     """Spans in order of start and member; one that overlaps a kept span of its type is dropped, else it is kept if
     ``votes`` members have an overlapping one. Kept or not depends on what was kept before, so each (document, type) is
     folded in order; the state is the furthest kept end."""
-    counted = vote_counts(spans, key)
+    counted = vote_counts(spans, key).where(F.col("votes") >= votes)
     rows = F.array_sort(F.collect_list(F.struct("start", "member", "end", "votes")))
     fold = F.aggregate(
         "rows",
