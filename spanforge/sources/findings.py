@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fields that a report of each format has, as far as they are read.
@@ -77,10 +77,10 @@ def read_spans(texts: DataFrame, key: str = "doc_id", body: str = "body") -> tup
     each = each.withColumn("l", F.when(F.col("item").startswith("["), listed))
     of_list = F.struct(number(0).alias("start"), number(1).alias("end"), F.get("l", F.lit(2)).alias("type"), F.get("l", F.lit(3)).try_cast("double").alias("confidence"), F.get("l", F.lit(4)).alias("source"))
     each = each.withColumn("x", F.when(F.col("l").isNotNull(), of_list).otherwise(F.from_json("item", ITEM)))
-    each = each.withColumn("ok", F.col("x.start").isNotNull() & F.col("x.end").isNotNull() & F.col("x.type").isNotNull())
-    wrong = each.where(~F.coalesce("ok", F.lit(False))).select(key).distinct()
+    each = each.withColumn("ok", F.coalesce(F.col("x.start").isNotNull() & F.col("x.end").isNotNull() & F.col("x.type").isNotNull(), F.lit(False)))
+    wrong = each.where(~F.col("ok")).select(key).distinct()
     bad = bad.union(wrong.select(key, F.lit("every span needs a numeric start and end and a type").alias("reason")))
-    good = each.join(wrong, key, "left_anti").select(
+    good = each.withColumn("ok", F.bool_and("ok").over(Window.partitionBy(key))).where("ok").select(
         key, F.col("ord").cast("bigint").alias("ord"), F.col("x.start").cast("bigint").alias("start"), F.col("x.end").cast("bigint").alias("end"), "x.type",
         F.coalesce("x.confidence", F.lit(1.0)).alias("conf"), F.coalesce("x.source", F.lit("")).alias("source"),
     )
