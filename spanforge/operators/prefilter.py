@@ -31,23 +31,29 @@ class Part:
         if not all(1 <= n <= MOST for n in numbers) or self.kind == "P" and self.x < 2 or self.kind == "D" and self.y > self.x:
             raise ValueError(f"prefilter {self.kind}{self.x}: numbers out of range")
 
+    @property
+    def counts(self) -> bool:
+        """Whether bytes must be counted: a stretch that is printable throughout is a run."""
+        return self.kind == "D" and self.y < self.x
+
     def reach(self) -> int:
         """Bytes on each side of a window in which what touches it can lie."""
         return {"A": self.x - 1, "U": 2 * self.x - 1, "P": self.x + self.y - 1, "D": self.x - 1}[self.kind]
 
     def expressions(self) -> list[tuple[int, str]]:
         """(reach, expression) that find the least stretch of each sort in the bytes within reach."""
-        if self.kind == "A":
-            return [(self.x - 1, f"[{PRINTABLE}]{{{self.x}}}")]
+        # only a run's first byte is tried: from each of its bytes a long run that is too short would be read again
+        if self.kind == "A" or self.kind == "D" and self.x == self.y:
+            return [(self.x - 1, f"(?<![{PRINTABLE}])[{PRINTABLE}]{{{self.x}}}")]
         if self.kind == "U":
-            return [(2 * self.x - 1, f"(?:[{PRINTABLE}]\\x00){{{self.x}}}")]
+            return [(2 * self.x - 1, f"(?<![{PRINTABLE}]\\x00)(?:[{PRINTABLE}]\\x00){{{self.x}}}")]
         found = []
         for q in range(2, self.x + 1):  # y equal pairs at distance q are y + q bytes of that period
             times, rest = divmod(self.y, q)
             size = self.y + q
-            again = (f"\\2{{{times}}}" if times else "") + ("\\3" if rest else "")
+            again = (f"\\1{{{times}}}" if times else "") + ("\\2" if rest else "")
             block = f"((.{{{rest}}}).{{{q - rest}}})" if rest else f"(.{{{q}}})"
-            found.append((size - 1, f"(?s)(?!(.)\\1{{{size - 1}}}){block}{again}"))
+            found.append((size - 1, f"(?s)(?={block}{again})(?!(.)\\{3 if rest else 2}{{{size - 1}}})"))
         return found
 
 
@@ -70,8 +76,8 @@ def mark_prefiltered(wins: DataFrame, rule: str = DEFAULT, s: str = "s") -> Data
     document costs what its windows cost. Null byte strings have no window to keep."""
     parts, own = parse(rule), wins.columns
     near = lambda n: F.substr(s, (F.greatest(F.col("start") - n, F.lit(0)) + 1).cast("int"), (F.col("start") + F.col("length") + n - F.greatest(F.col("start") - n, F.lit(0))).cast("int"))
-    tests: list[Column] = [near(reach).rlike(x) for p in parts if p.kind != "D" for reach, x in p.expressions()]
-    d, dense = wins, [p for p in parts if p.kind == "D"]
+    tests: list[Column] = [near(reach).rlike(x) for p in parts if not p.counts for reach, x in p.expressions()]
+    d, dense = wins, [p for p in parts if p.counts]
     if dense:  # bytes that are not printable, and how far apart they are, say it: text has few of them
         names = [f"_dense{i}" for i in range(len(dense))]
         for name, p in zip(names, dense):
