@@ -7,9 +7,10 @@ import gzip
 import io
 import tarfile
 import zipfile
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ..model import gguf
 from ..model.run import Options, head_values, run_streams, run_windows, scan_documents, spans, window_totals
 from ..operators import heads as H
 from ..operators import windows as W
-from ..sources.archives import expand_archives
+from ..sources.archives import expand_archives, give_back
 from ..streaming.chunks import chunks
 from .catalog import _windows_sql
 from .fixtures import matches_sql, read, texts
@@ -213,13 +214,19 @@ def _tar(name: str, body: bytes) -> bytes:
 def archives(spark, sf_dir) -> DataFrame:
     """(path, content): each document in an archive of one of five kinds, by its id."""
 
-    @F.pandas_udf("binary")
-    def pack(ids: pd.Series, bodies: pd.Series) -> pd.Series:
-        return pd.Series([_packed(i % 5, f"{i}.txt", b) for i, b in zip(ids, bodies)])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    ids, paths, bodies = (c.to_pylist() for c in batch.slice(at, 64).columns)
+                    made = [_packed(i % 5, f"{i}.txt", b) for i, b in zip(ids, bodies)]
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(made, pa.binary())], names=["path", "content"])
+        finally:
+            give_back()
 
-    d = read(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
     end = F.get(F.array(*map(F.lit, (".zip", ".gz", ".tar", ".tgz", ".txt"))), (F.col("doc_id") % 5).cast("int"))
-    return d.select(F.concat(F.col("doc_id").cast("string"), end).alias("path"), pack("doc_id", "b").alias("content"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), end).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
+    return d.mapInArrow(pack, "path string, content binary")
 
 
 @query(

@@ -1,9 +1,11 @@
 """Steps whose cost must not grow faster than their input."""
 
+import gzip
 import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from spanforge.operators import heads, intervals
 from spanforge.operators import redact as R
 from spanforge.operators.prefilter import mark_prefiltered
 from spanforge.operators.windows import windows
-from spanforge.plans import catalog, registry, scores  # noqa: F401
+from spanforge.plans import catalog, models, registry, scores  # noqa: F401
 from spanforge.plans.models import flag_model
+from spanforge.sources import archives
 from spanforge.streaming.chunks import chunks
 
 
@@ -123,3 +126,13 @@ def test_decisions_make_no_views(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a", b"no"), (2, "b", b"4 and 5"), (3, "c", None)], "doc_id bigint, file string, content binary")
     made = api.Detector([flag_model((b"0123456789", b""))] * 2, "none").decide(docs, api.Request(votes=2))
     assert {tuple(r) for r in made.collect()} == {(1, False), (2, True), (3, False)}
+
+
+def test_members_are_passed_on_in_parts(spark):
+    """Neither a batch for each archive nor all members of a batch at once; archives are packed a few at a time."""
+    body = bytes(20_000)
+    packed = [gzip.compress(bytes([i % 7]) + body, mtime=0) for i in range(300)]
+    whole = pa.RecordBatch.from_arrays([pa.array([f"{i}.gz" for i in range(300)]), pa.array(packed, pa.binary())], names=["path", "content"])
+    made = list(archives._expanded(iter([whole]), None, lambda name: True))
+    assert sum(b.num_rows for b in made) == 300 and 5 <= len(made) <= 30 and max(b.nbytes for b in made) < 2 * archives.PASSED
+    assert "ArrowEvalPython" not in models.archives(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
